@@ -7,10 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality, sharding
+from . import chat, decontam, licenses, lines, quality, sharding
 from ._common import flat, table
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return flat(licenses.scan_licenses(docs), "license", ["doc_id"]).select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select(
+        "doc_id", "n_lines", "n_deleted", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality.judge(docs, ["doc_id"])
@@ -45,10 +66,20 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    formatted = chat.format_chat(table(spark, sf_dir, "conversations"))
+    return formatted.select(
+        "conv_id", "turn", "role", "kind", "call_id", "status", "linked_turn", "valid", "order_turn", "level", "json"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_license_scan": op3_license_scan,
+    "op4_line_dedup": op4_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
+    "op10_chat_format": op10_chat_format,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -116,4 +147,87 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
 """
 
-ORACLES: dict[str, str] = {"op6_quality_rules": _OP6, "op8_decontamination": _OP8}
+_LABELS = "\n    ".join(
+    f"+ CASE WHEN regexp_matches(line, '{licenses.as_regex(t)}') THEN ['{label}'] ELSE [] END"
+    for label, t in licenses.TEMPLATES.items()
+)
+_BASE = "\n    ".join(
+    f"+ CASE WHEN contains(line, ' {phrase} ') THEN ['{label}'] ELSE [] END" for phrase, label in licenses.PHRASES.items()
+)
+_PHRASES = ", ".join(f"'{p}'" for p in licenses.PHRASES)
+
+_OP3 = rf"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, {_ALNUM} AS ws FROM documents),
+d AS (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM w),
+p AS (SELECT unnest([{_PHRASES}]) AS phrase),
+hits AS (
+  SELECT rid, count(*) AS n, min(i) AS lo, max(i) AS hi FROM (
+    SELECT rid, ws, phrase, unnest(range(len(ws))) AS i FROM d, p WHERE contains(line, ' ' || phrase || ' '))
+  WHERE array_to_string(ws[i + 1 : i + len(string_split(phrase, ' '))], ' ') = phrase GROUP BY rid),
+l AS (
+  SELECT rid, CAST([] AS VARCHAR[])
+    {_BASE} AS base, CAST([] AS VARCHAR[])
+    {_LABELS} AS own FROM d)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base,
+  CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
+  array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(base + own)), ',') AS labels,
+  CASE WHEN len(own) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END :: DOUBLE AS score
+FROM d JOIN l USING (rid) LEFT JOIN hits USING (rid)
+"""
+
+_OP4 = r"""
+WITH l AS (
+  SELECT doc_id, pos, line, CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]')
+      THEN array_to_string(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ') END AS norm
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+), worded AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM l WHERE norm IS NOT NULL
+), win AS (
+  SELECT doc_id, k, norm || chr(10) || lead(norm) OVER o || chr(10) || lead(norm, 2) OVER o AS g
+  FROM worded WINDOW o AS (PARTITION BY doc_id ORDER BY k)
+), repeated AS (
+  SELECT doc_id, k FROM (
+    SELECT doc_id, k, row_number() OVER (PARTITION BY g ORDER BY doc_id, k) AS r FROM win WHERE g IS NOT NULL)
+  WHERE r > 1
+), gone AS (SELECT DISTINCT doc_id, k + j AS k FROM repeated, range(3) AS r(j)),
+marked AS (
+  SELECT l.doc_id, l.pos, l.line, w.k, g.k AS gk FROM l LEFT JOIN worded w ON l.doc_id = w.doc_id AND l.pos = w.pos
+  LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.k = w.k
+), kept AS (
+  SELECT doc_id, CAST(count(k) AS BIGINT) AS n_lines, CAST(count(gk) AS BIGINT) AS n_deleted,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (gk IS NULL), '')) AS kept_sha256
+  FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted,
+  CASE WHEN text IS NOT NULL THEN kept_sha256 END AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+_OP10 = r"""
+WITH m AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS text,
+    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind FROM conversations
+), n AS (
+  SELECT *, CASE kind WHEN 'call' THEN 'turn-' || turn WHEN 'result' THEN 'turn-' || (turn - 1) END AS call_id FROM m
+), calls AS (SELECT conv_id, call_id, min(turn) AS call_turn FROM n WHERE kind = 'call' GROUP BY ALL),
+answers AS (SELECT conv_id, call_id, min(turn) AS answer_turn FROM n WHERE kind = 'result' GROUP BY ALL)
+SELECT n.conv_id, turn, role, kind, n.call_id,
+  CASE WHEN kind = 'message' THEN 'message' WHEN kind = 'call' AND answer_turn IS NULL THEN 'unanswered'
+    WHEN kind = 'result' AND call_turn IS NULL THEN 'orphan' ELSE 'linked' END AS status,
+  CASE kind WHEN 'call' THEN answer_turn WHEN 'result' THEN call_turn END AS linked_turn,
+  kind <> 'call' OR text <> '' AS valid, turn AS order_turn,
+  CAST(CASE WHEN kind = 'result' AND call_turn IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS level,
+  CAST(CASE kind
+    WHEN 'call' THEN json_object('arguments', json_object('text', text), 'id', n.call_id, 'name', 'reply', 'role', role)
+    WHEN 'result' THEN json_object('content', text, 'role', role, 'tool_call_id', n.call_id)
+    ELSE json_object('content', text, 'role', role) END AS VARCHAR) AS json
+FROM n LEFT JOIN calls USING (conv_id, call_id) LEFT JOIN answers USING (conv_id, call_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_license_scan": _OP3,
+    "op4_line_dedup": _OP4,
+    "op6_quality_rules": _OP6,
+    "op8_decontamination": _OP8,
+    "op10_chat_format": _OP10,
+}
