@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, lines, quality, sharding
+from . import chat, decontam, licenses, lines, quality, sharding, substrings
 from ._common import flat, table
 
 
@@ -32,6 +32,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", substrings.text_digest().alias("kept_sha256"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality.judge(docs, ["doc_id"])
@@ -76,6 +81,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
@@ -224,9 +230,28 @@ SELECT n.conv_id, turn, role, kind, n.call_id,
 FROM n LEFT JOIN calls USING (conv_id, call_id) LEFT JOIN answers USING (conv_id, call_id)
 """
 
+_OP5 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS g FROM (
+    SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM win) WHERE r > 1
+), gone AS (SELECT DISTINCT doc_id, i + k AS i FROM repeated, range(20) AS r(k)),
+kept AS (
+  SELECT w.doc_id, count(gone.i) AS n_removed, sha256(coalesce(string_agg(w.word, ' ' ORDER BY w.i) FILTER (gone.i IS NULL), '')) AS kept_sha256
+  FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d) w
+  LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i GROUP BY w.doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_license_scan": _OP3,
     "op4_line_dedup": _OP4,
+    "op5_substring_dedup": _OP5,
     "op6_quality_rules": _OP6,
     "op8_decontamination": _OP8,
     "op10_chat_format": _OP10,
