@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, lines, quality, sharding, substrings
+from . import chat, decontam, licenses, lines, ngram_join, quality, sharding, substrings
 from ._common import flat, table
 
 
@@ -71,6 +71,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     formatted = chat.format_chat(table(spark, sf_dir, "conversations"))
     return formatted.select(
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_chat_format": op10_chat_format,
 }
 
