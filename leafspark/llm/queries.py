@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, lines, ngram_join, quality, sharding, substrings
+from . import chat, context_tree, decontam, licenses, lines, ngram_join, quality, sharding, substrings
 from ._common import flat, table
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return flat(licenses.scan_licenses(docs), "license", ["doc_id"]).select(
@@ -83,6 +87,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm_score": op2_lm_score,
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
