@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, context_tree, decontam, licenses, lines, ngram_join, quality, sharding, substrings
+from . import chat, context_tree, decontam, licenses, lines, ngram_join, quality, sentencepiece_scan, sharding, substrings
 from ._common import flat, table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = sentencepiece_scan.decode(sentencepiece_scan.encode(docs))
+    return decoded.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.size("ids").cast("long").alias("n_pieces"),
+        "ids",
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(table(spark, sf_dir, "documents"))
 
@@ -87,6 +99,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_lm_score": op2_lm_score,
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
