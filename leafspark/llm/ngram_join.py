@@ -15,12 +15,16 @@ as one byte each, so a document learns how many of its shingles anybody else has
 0.75 n of them can have no link, and most documents end there. Equal sets are one class before anything is
 joined. Then, instead of all pairs within a posting list:
 
-1. in each round every document is proposed to the smallest document of the posting lists it shares, the
-   one it shares most shingles with; proposals that verify merge classes. Large groups of near copies
-   become one class with a proposal per document and round.
-2. what is left are pairs of documents in different classes: posting lists that lie in one class are dropped,
-   the others are joined with themselves across classes, counted per pair, verified and merged. This is the
-   exact rest: every pair that could still change the result is looked at.
+1. every document gets a *hub*: among the representatives of its posting lists the one that most documents
+   chose in a first round, where they chose the representative they share most prefix shingles with.
+   Documents are verified against their choices of both rounds, one or two pairs a document, which merges
+   large groups of near copies into few classes.
+2. what is left are pairs in different classes. Two documents of one hub that link either share a shingle
+   outside the hub's set, or share no more than the smaller overlap of theirs with the hub, so they are
+   joined on their rare shingles outside the hub, and on the hub where the overlaps allow a link. Documents
+   of different hubs are joined on their prefixes, where a posting list holds more than one class. All pairs
+   found are counted, verified on the whole sets and merged. This is the exact rest: every pair that could
+   still change the result is looked at, and no posting list is paired with itself within a class.
 
 Edge cases: null and empty texts (and texts without words) have the empty set, link with nothing and are
 their own class. Rows with one id are one node of the graph; each keeps its own n_shingles. Null ids are kept
@@ -158,40 +162,49 @@ def _depth(df: np.ndarray, n: int) -> int:
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each prefix shingle that somebody else may have: shingle, level, doc, n, depth."""
+    """A row for each prefix shingle that somebody else may have: shingle, level, doc, n, depth, centrality."""
     for batch in batches:
-        parts: list[tuple] = [((np.empty(0, np.int64),) * 5)]
+        parts: list[tuple] = [(np.empty(0, np.int64),) * 6]
         rows = zip(*[batch.column(c).to_pylist() for c in ("doc", "n", "tokens", "counts")], strict=True)
         for doc, n, tokens, counts in rows:
             keys, df = np.frombuffer(tokens, np.int64), np.frombuffer(counts, np.uint8)
             depth, least = _depth(df.astype(np.int64), n), n - need(n)
             use = np.flatnonzero(df[: least + depth] > 1)
             level = np.maximum(use - least + 1, 1)
-            parts.append((keys[use], level, *[np.full(len(use), x) for x in (doc, n, depth)]))
+            central = int(1000 * df.mean())
+            parts.append((keys[use], level, *[np.full(len(use), x) for x in (doc, n, depth, central)]))
         for k in range(0, len(parts), 512):
             chunk = parts[k : k + 512]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([p[i] for p in chunk]).astype(np.int64)) for i in range(5)],
-                names=["token", "level", "doc", "n", "depth"],
+                [pa.array(np.concatenate([p[i] for p in chunk]).astype(np.int64)) for i in range(6)],
+                names=["token", "level", "doc", "n", "depth", "central"],
             )
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets reach the threshold."""
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, the sizes of both sets and of the overlap, and a's shingles outside b that somebody else has."""
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("a_tokens"), batch.column("b_tokens"), strict=True):
-            x, y = np.frombuffer(a.as_buffer(), np.int64), np.frombuffer(b.as_buffer(), np.int64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+        sizes, outside = [], []
+        for x, y, counts in zip(*[batch.column(c) for c in ("a_tokens", "b_tokens", "a_counts")], strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+            common = np.isin(x, y, assume_unique=True)
+            sizes.append((len(x), len(y), int(common.sum())))
+            outside.append(x[~common & (np.frombuffer(counts.as_buffer(), np.uint8) > 1)].tolist())
+        na, nb, both = (pa.array([s[i] for s in sizes], pa.int64()) for i in range(3))
+        made = [batch.column("a"), batch.column("b"), na, nb, both, pa.array(outside, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(made, names=["a", "b", "na", "nb", "both", "outside"])
+
+
+def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the sizes of their sets (doc, tokens, counts) and of the overlap."""
+    a = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("a_tokens"), F.col("counts").alias("a_counts"))
+    b = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("b_tokens"))
+    kinds = "a bigint, b bigint, na bigint, nb bigint, both bigint, outside array<bigint>"
+    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_compared, kinds)
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) whose sets (doc, tokens) reach the threshold."""
-    a = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("a_tokens"))
-    b = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("b_tokens"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_verified, "a bigint, b bigint")
+#: Whether compared pairs link.
+_LINKED = f"100 * both >= {PERCENT} * (na + nb - both)"
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -229,7 +242,7 @@ def _relabel(classes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def link_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20, rounds: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20
 ) -> DataFrame:
     """id, n_shingles and component_id of every document."""
     dealt, k = deal(docs, id_col, text_col, block_bytes)
@@ -245,42 +258,28 @@ def link_classes(
     own = sets.where("tokens is not null").dropDuplicates(["doc", "digest", "n"])
     own = own.join(heads.withColumnRenamed("head", "doc"), ["doc", "digest", "n"], "left_semi")
     own = written(own.select("doc", "n", "tokens", "counts"))
-    posted = written(own.mapInArrow(_postings, "token bigint, level bigint, doc bigint, n bigint, depth bigint"))
+    posted = written(own.mapInArrow(_postings, "token bigint, level bigint, doc bigint, n bigint, depth bigint, central bigint"))
     classes = heads.select(F.col("head").alias("doc"), F.col("head").alias("class")).distinct()
     # One id may have several texts: they are one node, so the classes of their sets are one.
     several = copies.groupBy("doc").agg(F.min("head").alias("a"), F.max("head").alias("last")).where("a <> last")
     several = copies.join(several, "doc").where("head <> a").select("a", F.col("head").alias("b"))
     classes = _relabel(classes, written(several))
-    live = posted
-    for _ in range(rounds):
-        live = _mixed(live, classes)
-        if not live.take(1):
-            break
-        least = live.groupBy("token").agg(F.min(F.struct("class", "doc", "n")).alias("least"))
-        met = live.join(least, "token").where("class <> least.class and doc <> least.doc")
-        met = met.where("100 * least(n, least.n) >= 75 * greatest(n, least.n)")
-        met = met.groupBy("doc", F.col("least.doc").alias("to")).agg(F.count(F.lit(1)).alias("shared"))
-        best = met.groupBy("doc").agg(F.max(F.struct("shared", (-F.col("to")).alias("to"))).alias("best"))
-        pairs = written(best.select(F.col("doc").alias("a"), (-F.col("best.to")).alias("b")))
-        if not pairs.take(1):
-            break
-        classes = _relabel(classes, written(verify(pairs, own)))
-        live = live.drop("class")
-    live = written(_mixed(live.drop("class"), classes))
-    x, y = (live.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", "level", "depth", "class")]) for s in "ab")
-    ask = F.least("a_depth", "b_depth")
-    pairs = x.join(y, "token").where(
-        (F.col("a_doc") < F.col("b_doc"))
-        & (F.col("a_class") != F.col("b_class"))
-        & (100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n"))
-        & (F.greatest("a_level", "b_level") <= ask)
-    )
-    pairs = pairs.groupBy(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.min(ask).alias("ask")
-    )
-    pairs = written(pairs.where("shared >= ask").select("a", "b"))
+    first = _choice(posted.withColumn("weight", F.lit(0).cast("long")), by_shared=True)
+    chosen = first.groupBy("hub").agg(F.count(F.lit(1)).alias("weight")).withColumnRenamed("hub", "doc")
+    weighed = posted.join(chosen, "doc", "left").withColumn("weight", F.coalesce("weight", F.lit(0).cast("long")))
+    hubs = written(_choice(weighed, by_shared=False))
+    asked = first.union(hubs).where("doc <> hub").distinct().select(F.col("doc").alias("a"), F.col("hub").alias("b"))
+    facts = written(compare(asked, own))
+    classes = _relabel(classes, facts.where(_LINKED))
+    own_hub = own.select("doc", "n").join(hubs.where("doc = hub"), "doc")
+    near = facts.join(hubs, (F.col("a") == F.col("doc")) & (F.col("b") == F.col("hub")))
+    near = near.select("doc", F.col("na").alias("n"), "hub", F.col("both").alias("overlap"), F.col("nb").alias("hub_n"), "outside")
+    alone = own_hub.select("doc", "n", "hub", F.col("n").alias("overlap"), F.col("n").alias("hub_n"), F.array().cast("array<bigint>").alias("outside"))
+    members = written(near.union(alone).join(classes, "doc"))
+    pairs = _across_hubs(posted, members).union(_outside_hubs(members)).union(_within_hubs(members, classes))
+    pairs = written(pairs.distinct())
     if pairs.take(1):
-        classes = _relabel(classes, written(verify(pairs, own)))
+        classes = _relabel(classes, compare(pairs, own).where(_LINKED))
     of_copy = copies.join(classes.withColumnRenamed("doc", "head"), "head", "left")
     of_copy = of_copy.groupBy("doc").agg(F.min(F.coalesce("class", "head")).alias("class"))
     out = sets.select("doc", "n").join(of_copy, "doc", "left")
@@ -292,8 +291,73 @@ def link_classes(
     )
 
 
-def _mixed(posted: DataFrame, classes: DataFrame) -> DataFrame:
-    """``posted`` with each document's class, in the posting lists that hold more than one class."""
-    labelled = written(posted.join(classes, "doc"))
-    spread = labelled.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-    return labelled.join(spread.where("lo <> hi").select("token"), "token", "left_semi")
+def _choice(posted: DataFrame, by_shared: bool) -> DataFrame:
+    """(doc, hub): of the representatives of a document's posting lists the heaviest, or the one met most often.
+
+    A list's representative is its heaviest document, then the one whose shingles are the most common.
+    """
+    order = F.struct("weight", "central", (-F.col("doc")).alias("back"))
+    heads = posted.groupBy("token").agg(F.max(order).alias("head"))
+    met = posted.select("token", "doc").join(heads, "token").groupBy("doc", "head").agg(F.count(F.lit(1)).alias("shared"))
+    rank = F.struct("shared", "head") if by_shared else F.struct("head.weight", "shared", "head")
+    return met.groupBy("doc").agg(F.max(rank).alias("best")).select("doc", (-F.col("best.head.back")).alias("hub"))
+
+
+def _sizes_fit(a: str = "a_n", b: str = "b_n"):
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+
+
+def _sides(df: DataFrame, key: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` twice, for a join on ``key``: the other columns with a_ and b_ before their names."""
+    a, b = (df.select(*key, *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in "ab")
+    return a, b
+
+
+def _mixed(df: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of the groups that hold more than one class."""
+    spread = df.groupBy(*key).agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
+    return df.join(spread.where("lo <> hi").select(*key), key, "left_semi")
+
+
+def _across_hubs(posted: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of different hubs and classes that share enough of their prefixes."""
+    live = written(posted.join(members.select("doc", "hub", "class"), "doc"))
+    a, b = _sides(written(_mixed(live, ["token"])), ["token"], ["doc", "n", "level", "depth", "hub", "class"])
+    ask = F.least("a_depth", "b_depth")
+    met = a.join(b, "token").where(
+        (F.col("a_doc") < F.col("b_doc"))
+        & (F.col("a_class") != F.col("b_class"))
+        & (F.col("a_hub") != F.col("b_hub"))
+        & _sizes_fit()
+        & (F.greatest("a_level", "b_level") <= ask)
+    )
+    met = met.groupBy("a_doc", "b_doc").agg(F.count(F.lit(1)).alias("shared"), F.min(ask).alias("ask"))
+    return met.where("shared >= ask").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
+
+
+def _outside_hubs(members: DataFrame) -> DataFrame:
+    """Pairs of one hub and different classes that share a shingle which the hub does not have."""
+    rows = members.select("hub", "doc", "n", "class", F.explode("outside").alias("token"))
+    a, b = _sides(written(_mixed(rows, ["hub", "token"])), ["hub", "token"], ["doc", "n", "class"])
+    met = a.join(b, ["hub", "token"]).where(
+        (F.col("a_doc") < F.col("b_doc")) & (F.col("a_class") != F.col("b_class")) & _sizes_fit()
+    )
+    return met.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
+
+
+def _within_hubs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of one hub and different classes whose overlaps with the hub allow a link.
+
+    One of the two is not in the hub's class, and then the other has to be smaller than the hub.
+    """
+    of_hub = classes.select(F.col("doc").alias("hub"), F.col("class").alias("hub_class"))
+    rows = members.drop("outside").join(of_hub, "hub")
+    a, b = _sides(rows, ["hub"], ["doc", "n", "overlap", "class"])
+    a = a.join(of_hub, "hub").where("a_class <> hub_class")
+    b = b.join(members.select("hub", "hub_n").distinct(), "hub").where("b_n < hub_n")
+    met = a.join(b, "hub").where(
+        (F.col("a_class") != F.col("b_class"))
+        & _sizes_fit()
+        & ((100 + PERCENT) * F.least("a_overlap", "b_overlap") >= PERCENT * (F.col("a_n") + F.col("b_n")))
+    )
+    return met.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"))
