@@ -67,7 +67,7 @@ class CompoundFile:
     def _chain(self, sector: int) -> bytes:
         out, seen = [], 0
         while sector < _END:
-            if sector >= len(self.fat) or seen > len(self.fat):
+            if sector >= len(self.fat) or seen > len(self.fat) or (sector + 1) * self.size >= len(self.data):
                 raise malformed("broken sector chain")
             out.append(self.data[(sector + 1) * self.size : (sector + 2) * self.size])
             sector, seen = self.fat[sector], seen + 1
