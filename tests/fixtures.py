@@ -59,37 +59,48 @@ def placed(pages, width=600, height=800):
     return bytes(out + f"trailer\n<< /Size {len(objects) + 1} /Root 1 0 R >>\nstartxref\n{xref}\n%%EOF\n".encode())
 
 
-def _row(y, label, cells, bold=False, indent=0):
-    return [(35 + indent, y, 8, bold, label)] + [(x + 40 - 4 * len(c), y, 8, bold, c) for x, c in cells]
+def _figures(y, cells, bold=False):
+    """Right-aligned figures that end 44 units after their column begins."""
+    return [(x + 44 - 4 * len(c), y, 8, bold, c) for x, c in cells]
 
 
-_TITLE = [(16, 14, 16, True, "BETA GROUP")]
-_A, _B = 293, 345
+_TITLE = [(20, 18, 16, True, "BETA GROUP")]
 POSITION = [
     *_TITLE,
-    (16, 28, 12, True, "STATEMENT OF POSITION"),
-    (33, 40, 8, True, "Statement of position"),
-    (_A, 40, 8, True, "31/12/2025"),
-    (_B, 40, 8, True, "31/12/2024"),
-    *_row(51, "ASSETS", [], True),
-    *_row(62, "Cash at banks", [(_A, "1,204"), (_B, "988")], indent=10),
-    *_row(73, "Total assets", [(_A, "4,514"), (_B, "3,863")], True, 10),
+    (20, 34, 12, True, "STATEMENT OF POSITION"),
+    (30, 50, 8, True, "Statement of position"),
+    (310, 50, 8, True, "30/06/2031"),
+    (370, 50, 8, True, "30/06/2030"),
+    (30, 62, 8, True, "ASSETS"),
+    (42, 74, 8, False, "Bank balances"),
+    *_figures(74, [(310, "7,310"), (370, "655")]),
+    (42, 86, 8, True, "All assets"),
+    *_figures(86, [(310, "9,027"), (370, "8,140")], True),
 ]
-_COLUMNS = [(273, ["Total equity"], ["01/01/2025-", "31/12/2025"]), (359, ["Retained earnings", "(losses)"], ["01/01/2025-31/12/2025"]), (520, ["Total equity"], ["01/01/2024-", "31/12/2024"])]
+#: Column: titles and periods, each stacked around its own middle line.
+_COLUMNS = [(280, ["All equity"], ["01/07/2030-", "30/06/2031"]), (370, ["Earnings kept", "(losses)"], ["01/07/2030-30/06/2031"]), (530, ["All equity"], ["01/07/2029-", "30/06/2030"])]
+
+
+def _stack(middle, part):
+    return [(c[0], middle - 5 * (len(c[part]) - 1) + 10 * k, 8, True, t) for c in _COLUMNS for k, t in enumerate(c[part])]
+
+
 CHANGES = [
     *_TITLE,
-    (16, 28, 12, True, "STATEMENT OF CHANGES"),
-    (33, 56, 8, True, "Statement of changes"),
-    *[(x, 45 - 5.5 * (len(t) - 1) + 11 * i, 8, True, s) for x, t, _ in _COLUMNS for i, s in enumerate(t)],
-    *[(x, 67 - 5.5 * (len(p) - 1) + 11 * i, 8, True, s) for x, _, p in _COLUMNS for i, s in enumerate(p)],
-    (30, 84, 8, True, "STATEMENT OF CHANGES"),
-    *_row(95, "Balance at the start", [(x, "2,848") for x, _, _ in _COLUMNS]),
-    *_row(106, "Total equity", [(x, "3,394") for x, _, _ in _COLUMNS], True),
+    (20, 34, 12, True, "STATEMENT OF CHANGES"),
+    *_stack(50, 1),
+    (30, 60, 8, True, "Statement of changes"),
+    *_stack(70, 2),
+    (28, 86, 8, True, "STATEMENT OF CHANGES"),
+    (42, 98, 8, False, "At the start"),
+    *_figures(98, [(c[0], "6,002") for c in _COLUMNS]),
+    (42, 110, 8, True, "All equity"),
+    *_figures(110, [(c[0], "5,419") for c in _COLUMNS], True),
 ]
 STATEMENT = placed([POSITION, CHANGES], 842, 595)
-NOTE = [*_TITLE, (16, 28, 12, True, "NOTE 2 CONTINGENCIES"), (33, 60, 12, False, "Figures in this note are in thousands."), (33, 80, 12, False, "There are no contingent liabilities.")]
+NOTE = [*_TITLE, (20, 36, 12, True, "NOTE 7 LEASES"), (30, 64, 12, False, "Amounts are in thousands."), (30, 86, 12, False, "No lease ends within the year.")]
 BLANK_PDF = placed([NOTE, [], NOTE])
 KEYS = placed([[
-    *_TITLE, (16, 28, 12, True, "REPORT INFORMATION"),
-    *[(x, 45 + 10 * k, 8, False, t) for k, row in enumerate([("Name of entity", "BETA GROUP"), ("Identifier", "BG-17"), ("Whether this is the first report since the entity was established, as the law of its seat has it now", "No"), ("Currency", "Euro")]) for x, t in zip((45, 432), row, strict=True)],
+    *_TITLE, (20, 34, 12, True, "ABOUT THIS REPORT"),
+    *[(x, 50 + 11 * k, 8, False, t) for k, row in enumerate([("Name", "BETA GROUP"), ("Identifier", "BG-17"), ("Whether the group has published any report of this kind before the present one", "No"), ("Currency", "Euro")]) for x, t in zip((40, 400), row, strict=True)],
 ]])

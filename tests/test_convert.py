@@ -131,7 +131,7 @@ def test_pages_in_order():
 def test_blank_pages_stay():
     pages = convert.to_pages(X.BLANK_PDF)
     assert [(n, t == "") for n, t in pages] == [(1, False), (2, True), (3, False)]
-    assert "## NOTE 2 CONTINGENCIES" in pages[2][1]
+    assert "## NOTE 7 LEASES" in pages[2][1]
 
 
 def test_page_errors():
@@ -147,9 +147,9 @@ def test_page_errors():
 
 def test_table_rows():
     one, two = (t for _, t in convert.to_pages(X.STATEMENT))
-    for row in ("|Statement of position|31/12/2025|31/12/2024|", "|Total assets|4,514|3,863|"):
+    for row in ("|Statement of position|30/06/2031|30/06/2030|", "|All assets|9,027|8,140|"):
         assert row + "\n" in one
-    assert "Total equity 3,394 3,394 3,394" in plain_lines(two)
+    assert "All equity 5,419 5,419 5,419" in plain_lines(two)
     assert "ASSETS" in plain_lines(one)
 
 
@@ -158,12 +158,12 @@ def test_stacked_header_is_one_row():
     rules = [k for k, x in enumerate(lines) if x.startswith("|---|")]
     assert len(rules) == 1
     cells = lines[rules[0] - 1].strip("|").split("|")
-    assert cells == ["Statement of changes", "Total equity 01/01/2025-31/12/2025", "Retained earnings (losses) 01/01/2025-31/12/2025", "Total equity 01/01/2024-31/12/2024"]
+    assert cells == ["Statement of changes", "All equity 01/07/2030-30/06/2031", "Earnings kept (losses) 01/07/2030-30/06/2031", "All equity 01/07/2029-30/06/2030"]
 
 
 def test_key_value_rows():
     ((_, text),) = convert.to_pages(X.KEYS)
-    assert {"Name of entity BETA GROUP", "Identifier BG-17", "Currency Euro"} <= set(plain_lines(text))
+    assert {"Name BETA GROUP", "Identifier BG-17", "Currency Euro"} <= set(plain_lines(text))
 
 
 def test_broken_cross_reference_is_rebuilt():
