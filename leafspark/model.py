@@ -9,6 +9,8 @@ from __future__ import annotations
 import base64
 import json
 
+from .errors import malformed
+
 # The closed vocabularies.
 BLOCK_KINDS = ("heading", "paragraph", "list", "table", "block_quote", "code_block", "rule", "math")
 INLINE_KINDS = ("text", "link", "image", "anchor", "note_ref", "line_break", "math", "checkbox")
@@ -159,3 +161,28 @@ def merged(inlines: list) -> list:
 
 def to_json(doc: dict) -> str:
     return json.dumps(doc, ensure_ascii=False, separators=(",", ":"))
+
+
+def from_json(value: str) -> dict:
+    """The document of its JSON; a ``malformed`` error if it is none."""
+    return _decoded(value, "document", lambda d: isinstance(d, dict) and all(isinstance(d.get(k), list) for k in ("blocks", "notes", "assets")))
+
+
+def pages_to_json(pages: list[tuple[int, str]]) -> str:
+    return to_json([{"number": n, "markdown": t} for n, t in pages])
+
+
+def pages_from_json(value: str) -> list[tuple[int, str]]:
+    """(number, Markdown) of the JSON of pages; a ``malformed`` error if it is none."""
+    shape = lambda p: isinstance(p, list) and all(isinstance(x, dict) and {"number", "markdown"} <= x.keys() for x in p)
+    return [(int(x["number"]), str(x["markdown"])) for x in _decoded(value, "pages", shape)]
+
+
+def _decoded(value: str, what: str, fits):
+    try:
+        found = json.loads(value)
+    except (ValueError, RecursionError) as e:
+        raise malformed(f"{what} json: {e}") from None
+    if not fits(found):
+        raise malformed(f"{what} json: unexpected shape")
+    return found

@@ -4,7 +4,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
-from leafspark import FORMATS, ConvertError, convert, format_from_bytes, format_from_extension, format_from_path
+from leafspark import FORMATS, ConvertError, convert, format_from_bytes, format_from_extension, format_from_path, model
 from leafspark.formats import check_format, join_formats
 from leafspark.plans import payloads as P
 
@@ -201,3 +201,26 @@ def test_rtf_tables_styles_and_notes():
 def test_zip_writer_round_trip():
     with zipfile.ZipFile(__import__("io").BytesIO(X.RICH)) as z:
         assert "word/document.xml" in z.namelist()
+
+
+def test_json_round_trips():
+    doc = convert.to_document(X.RICH)
+    assert model.from_json(model.to_json(doc)) == doc
+    pages = convert.to_pages(X.BLANK_PDF)
+    assert model.pages_from_json(model.pages_to_json(pages)) == pages
+    for bad in ("", "[]", "{}", '{"blocks": 1}'):
+        assert code(model.from_json, bad).message.startswith("document json: ")
+    assert code(model.pages_from_json, "{}").message.startswith("pages json: ")
+    assert convert.plain_text([model.link([model.text("a")], "external", "x:y"), model.text("b")]) == "ab"
+
+
+def test_model_invariants():
+    for data in (X.RICH, P.xlsx({"S": [["a"], ["b", "c"]]}), P.ods({"S": [["a", "b"]]})):
+        for b in convert.to_document(data)["blocks"]:
+            grid = b.get("table", {}).get("grid", [])
+            assert not grid or (b["table"]["header_rows"] <= len(grid) and len({len(r) for r in grid}) == 1)
+            for r, row in enumerate(grid):
+                for c, slot in enumerate(row):
+                    if slot["kind"] == "covered":
+                        cell = grid[slot["origin_row"]][slot["origin_col"]]["cell"]
+                        assert slot["origin_row"] + cell["row_span"] > r and slot["origin_col"] + cell["col_span"] > c
