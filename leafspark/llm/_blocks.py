@@ -3,7 +3,8 @@
 Operators that compare every word position of the corpus would shuffle a row per position. Instead the
 documents are dealt once into blocks of a few MB by a hash of their id; a block packs what it has to say
 about many keys into one binary message per bucket of keys, and a bucket answers with one message per
-block. Keys are unique within a message, so a key that is frequent everywhere costs one entry per block.
+block. Keys are unique within a message, so a key that is frequent everywhere costs one entry per block. There are fewer buckets than blocks, so that messages stay long;
+on a very large corpus raise the size of a block with the memory of a task, which makes messages fewer.
 The exchange of the documents is one node of the plan that Spark reuses for every visit to the blocks.
 """
 
@@ -15,19 +16,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import n_blocks
+from ._common import n_blocks, shuffle_partitions
 
 _LEAST = np.iinfo(np.int64).min
 
 
 def deal(docs: DataFrame, id_col: str, text_col: str, target: int = 4 << 20) -> tuple[DataFrame, int]:
     """(doc, text, block) of every document, and the number of blocks."""
-    k = n_blocks(docs, target)
+    k = n_blocks(docs, text_col, target)
     doc = F.col(id_col).cast("long")
     block = F.pmod(F.xxhash64(F.coalesce(doc, F.lit(0))), F.lit(k)).cast("int")
     return docs.select(doc.alias("doc"), F.col(text_col).cast("binary").alias("text"), block.alias("block")), k
 
 
+def n_buckets(docs: DataFrame, blocks: int) -> int:
+    """How many groups of keys: as many as shuffle partitions, and at least one for eight blocks."""
+    return max(shuffle_partitions(docs), blocks // 8)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit keys."""
     h = h ^ (h >> np.uint64(32))
@@ -79,13 +85,38 @@ class Block:
 
 
 def rolling(h: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """A hash of the ``size`` values from each position; the last ones wrap and are not valid."""
+    """A hash of the ``size`` values from each position; the last ones lack values and are not valid."""
     out = np.zeros(len(h), np.uint64)
-    for k, c in enumerate(constants(size, seed)):
+    for k, c in enumerate(constants(size, seed)[: len(h)]):
         out[: len(h) - k] += h[k:] * c
     return mix(out)
 
 
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and the rank of each key among them."""
+    order = np.argsort(keys)
+    own = keys[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    rank = np.empty(len(keys), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32) - 1
+    return own[new], rank
+
+
+def sorted_within(of: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """An order of (of, key): one sort of the document's number above the key's leading bits.
+
+    Where two keys of a document differ only in the bits left out, the full comparison is made instead.
+    """
+    bits = max(1, int(of[-1]).bit_length()) if len(of) else 1
+    short = (of.astype(np.uint64) << np.uint64(64 - bits)) | (keys >> np.uint64(bits))
+    order = np.argsort(short)
+    s, k = short[order], keys[order]
+    if ((s[1:] == s[:-1]) & (k[1:] != k[:-1])).any():
+        return np.lexsort((keys, of))
+    return order
+
+
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     """Bucket below ``n`` by the upper half of a 64-bit key, so buckets rise with the key."""
     return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)

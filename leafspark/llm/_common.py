@@ -44,7 +44,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/") + "/leafspark-" + spark.sparkContext.applicationId
 
 
-def written(df: DataFrame, *partition_free: str) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared scratch folder: cuts lineage, survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -57,18 +57,22 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate: the file sizes of a plain scan, without running a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, text_col: str) -> int:
+    """Catalyst's size estimate, which for a scan is the size of its files; measured where there is none."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    found = int(str(plan.stats().sizeInBytes()))
+    if plan.collectLeaves().size() == 1 and found < 1 << 50:
+        return found
+    return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def n_blocks(df: DataFrame, target: int = 6 << 20) -> int:
+def n_blocks(df: DataFrame, text_col: str, target: int) -> int:
     """How many groups of documents to deal out, each about ``target`` bytes on disk."""
-    return max(shuffle_partitions(df), -(-min(input_bytes(df), 1 << 50) // target))
+    return max(shuffle_partitions(df), -(-input_bytes(df, text_col) // target))
 
 
 def with_result(

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import Block, bucket_of, constants, deal, joined, message, mix, rolling, unpack
+from ._blocks import Block, bucket_of, constants, deal, joined, message, mix, n_buckets, ranked, rolling, unpack
 
 WINDOW, ANCHOR = 20, 10
 _LOW = np.uint64(0xFFFFFFFF)
@@ -81,7 +81,7 @@ def _extend(n: int):
         h, anchors, valid, keys = _probes(b, n)
         answers = answers.sort_by("bucket")
         met = joined(unpack(answers.column("met"), np.uint8), np.uint8)
-        found, where = np.unique(keys, return_inverse=True)
+        _, where = ranked(keys)
         aligned = (valid - b.starts[b.of[valid]]) % ANCHOR == 0
         hit = np.zeros(b.n + WINDOW, np.int32)
         hit[valid] = met[where].astype(np.int32) - aligned >= 1
@@ -169,7 +169,8 @@ def dedup_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20
 ) -> DataFrame:
     """id, n_words, n_removed and the kept words, joined by one blank, of every document."""
-    dealt, n = deal(docs, id_col, text_col, block_bytes)
+    dealt, blocks = deal(docs, id_col, text_col, block_bytes)
+    n = n_buckets(docs, blocks)
     by_block = dealt.groupBy("block")
     probes = by_block.applyInArrow(_send(n), "bucket int, block int, prints binary, refs binary")
     met = probes.groupBy("bucket").applyInArrow(_look_up, "bucket int, block int, met binary")
