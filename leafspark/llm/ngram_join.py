@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import _LEAST, Block, bucket_of, constants, deal, joined, message, mix, rolling, unpack
+from ._blocks import _LEAST, Block, bucket_of, constants, deal, joined, message, mix, n_buckets, ranked, rolling, sorted_within, unpack
 from ._common import written
 
 SIZE, PERCENT, DEEPEST = 5, 75, 8
@@ -61,7 +61,9 @@ def shingles(b: Block) -> tuple[np.ndarray, np.ndarray]:
         whole[some] += (h[b.starts[short[some]] + k] + np.uint64(1)) * c
     keys = np.concatenate([keys, mix(whole + size[short].astype(np.uint64))])
     of = np.concatenate([of, short])
-    order = np.lexsort((keys, of))
+    grouped = np.argsort(of, kind="stable") if len(short) else slice(None)
+    keys, of = keys[grouped], of[grouped]
+    order = sorted_within(of, keys)
     keys, of = keys[order], of[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])
@@ -71,10 +73,15 @@ def shingles(b: Block) -> tuple[np.ndarray, np.ndarray]:
 def _digests(of: np.ndarray, keys: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Set size and two 64-bit hashes of each document's set."""
     n = np.bincount(of, minlength=docs)
-    d1, d2 = np.zeros(docs, np.uint64), np.zeros(docs, np.uint64)
-    np.add.at(d1, of, mix(keys + np.uint64(11)))
-    np.add.at(d2, of, mix(keys * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(7)))
-    return n, d1, d2
+    some = np.flatnonzero(n)
+    starts = (np.cumsum(n) - n)[some]
+    out = []
+    for scrambled in (mix(keys + np.uint64(11)), mix(keys * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(7))):
+        total = np.zeros(docs, np.uint64)
+        if len(some):
+            total[some] = np.add.reduceat(scrambled, starts)
+        out.append(total)
+    return n, *out
 
 
 def _heads(n: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
@@ -129,22 +136,18 @@ def _choose(buckets: int):
             b = Block(docs, lower=True)
             of, keys = shingles(b)
             size, d1, d2 = _digests(of, keys, len(b.ids))
-            heads = _heads(size, d1, d2)
-            own = np.unique(_packed(keys[heads[of]], buckets))
-            df = joined(unpack(counts.sort_by("bucket").column("n"), np.uint8), np.uint8) if counts.num_rows else own[:0]
-            at = np.searchsorted(own, _packed(keys, buckets))
-            df = df[at].astype(np.int64)
-            order = np.lexsort((keys, df, of))
-            keys, df = keys[order], df[order]
+            own, rank = ranked(_packed(keys, buckets))
+            df = joined(unpack(counts.sort_by("bucket").column("n"), np.uint8), np.uint8)[rank] if len(own) else rank
+            shared = np.bincount(of[df > 1], minlength=len(b.ids))
             bounds = np.concatenate([[0], np.cumsum(size)])
-            shared = np.bincount(of, df >= 2, len(b.ids)) if len(of) else np.zeros(len(b.ids))
             for i, own_id in enumerate(b.ids):
-                lo, hi = bounds[i], bounds[i + 1]
                 n = int(size[i])
                 digest = d1[i].tobytes() + d2[i].tobytes() if n else None
                 tokens = counts_of = None
                 if n and shared[i] >= need(n):
-                    tokens, counts_of = keys[lo:hi].tobytes(), df[lo:hi].astype(np.uint8).tobytes()
+                    mine, known = keys[bounds[i] : bounds[i + 1]], df[bounds[i] : bounds[i + 1]]
+                    order = np.argsort(known, kind="stable")
+                    tokens, counts_of = mine[order].tobytes(), known[order].tobytes()
                 rows.append((int(own_id), n, digest, tokens, counts_of))
         columns = zip(*rows, strict=True) if rows else ((),) * 5
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -245,7 +248,8 @@ def link_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20
 ) -> DataFrame:
     """id, n_shingles and component_id of every document."""
-    dealt, k = deal(docs, id_col, text_col, block_bytes)
+    dealt, blocks = deal(docs, id_col, text_col, block_bytes)
+    k = n_buckets(docs, blocks)
     sent = dealt.groupBy("block").applyInArrow(_send(k), "bucket int, block int, prints binary, n binary")
     counts = sent.groupBy("bucket").applyInArrow(_count, "bucket int, block int, n binary")
     sets = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
