@@ -13,11 +13,13 @@ A unigram model over the same tokens (words, then one end) gives a base score be
 Training texts are those whose ``crc32(id as text) mod 5`` is not 1; all texts are scored.
 
 Plan: documents are dealt into blocks once (:mod:`._blocks`). A block sends its distinct words with training
-counts, and its distinct grams of ``depth + 1`` bytes likewise, to buckets: words by hash, grams by the last two
-context bytes, so that a bucket holds whole subtrees from depth 2 down. The nodes of depth 0 and 1, at most
-256 * 255 whatever the corpus, are summed up and handed to every bucket. Buckets answer with corpus counts of
-words, and with log10 probabilities of grams, which the blocks add up by document. All counts grow with the
-corpus and nothing of it is capped; what one task holds is a block or a bucket.
+counts, and its distinct grams of ``depth + 1`` bytes likewise, to buckets of keys by hash. A bucket adds up its
+words' counts, and sends its distinct grams with their sums to owners, by the last two context bytes, so that an
+owner holds whole subtrees from depth 2 down. The nodes of depth 0 and 1, at most 256 * 255 whatever the corpus,
+are summed up and handed to every owner. Owners send the log10 probability of each gram back to its bucket, and
+buckets answer each block with counts and probabilities, which the block adds up by document. All counts grow
+with the corpus and nothing of it is capped; what one task holds is a block, a bucket of keys, or the distinct
+grams of an owner.
 
 Edge cases: null and empty texts consist of the end alone. A null id trains (CRC of no bytes). Rows with
 one id are scored one by one. Without any training text every decision has probability 1/2. Words are told
@@ -35,13 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blocks import Block, bucket_of, deal, joined, unpack
+from ._blocks import Block, bucket_of, deal, joined, message, n_buckets, ranked, unpack
 
 DEPTH = 5
 _CHUNK = 4 << 20
-_SPREAD = 40503  # an odd multiplier: a bijection of 16-bit pairs of bytes
-_PAIR = (np.arange(65536, dtype=np.uint64) * np.uint64(_SPREAD)) & np.uint64(65535)
-_BACK = pow(_SPREAD, -1, 65536)
+_SPREAD = 0x9E3779B97F4A7C15  # an odd multiplier: a bijection of 64-bit keys whose upper bits depend on all
+_BACK = pow(_SPREAD, -1, 1 << 64)
 
 
 def is_held_out(own: int | None) -> bool:
@@ -84,11 +85,10 @@ def chunks(b: Block, depth: int):
         for k in range(depth):
             keep[ends - sizes + k] = False
         spots = np.flatnonzero(keep)
-        pair = (x[spots - 1].astype(np.uint16) << 8) | x[spots - 2]
-        low = np.zeros(len(spots), np.uint64)
-        for k in range(3, depth + 1):
-            low = (low << np.uint64(8)) | x[spots - k]
-        keys = (_PAIR[pair] << np.uint64(32)) | (low << np.uint64(8)) | x[spots]
+        keys = np.zeros(len(spots), np.uint64)
+        for k in range(1, depth + 1):
+            keys = (keys << np.uint64(8)) | x[spots - k]
+        keys = (keys << np.uint64(8)) | x[spots]
         yield first, at, keys, np.concatenate([[0], np.cumsum(sizes - depth)])
 
 
@@ -123,35 +123,50 @@ def _send(buckets: int, depth: int):
         learn = np.concatenate([train[b.of], train]).astype(np.int64)
         words, seen = _merged(words, learn)
         grams, counts = _grams(b, depth, train)
-        at_words = np.searchsorted(bucket_of(words, buckets), np.arange(buckets + 1, dtype=np.uint64))
-        at_grams = np.searchsorted(_bucket(grams, buckets), np.arange(buckets + 1, dtype=np.uint64))
+        order = np.argsort(grams * np.uint64(_SPREAD))
+        grams, counts = grams[order], counts[order]
+        at_words, at_grams = (
+            np.searchsorted(bucket_of(h, buckets), np.arange(buckets + 1, dtype=np.uint64)) for h in (words, grams * np.uint64(_SPREAD))
+        )
         pack = lambda a, at: pa.array([a[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())
         return pa.table(
             {
                 "bucket": pa.array(np.arange(buckets, dtype=np.int32)),
                 "block": pa.array(np.full(buckets, b.block, np.int32)),
                 "words": pack(words, at_words),
-                "seen": pack(seen, at_words),
-                "pair": pack((grams >> np.uint64(32)).astype(np.uint16), at_grams),
-                "low": pack(grams.astype(np.uint32), at_grams),
-                "n": pack(counts, at_grams),
+                "seen": pack(seen.astype(np.uint32), at_words),
+                "grams": pack(grams, at_grams),
+                "n": pack(counts.astype(np.uint32), at_grams),
             }
         )
 
     return count
 
 
-def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
-    return ((grams >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(16)
+def _summed(rows: pa.Table, keys: str, counts: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of a bucket's messages, the sums of their counts, and the rank of each entry."""
+    found, rank = ranked(joined(unpack(rows.column(keys), np.uint64), np.uint64))
+    total = np.bincount(rank, joined(unpack(rows.column(counts), np.uint32), np.uint32), len(found))
+    return found, total.astype(np.int64), rank
 
 
-def _bucket_grams(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Distinct grams of a bucket, their training counts, where each entry went, and entries by row."""
-    pair, low = unpack(rows.column("pair"), np.uint16), unpack(rows.column("low"), np.uint32)
-    keys = (joined(pair, np.uint16).astype(np.uint64) << np.uint64(32)) | joined(low, np.uint32)
-    found, where = np.unique(keys, return_inverse=True)
-    total = np.bincount(where, joined(unpack(rows.column("n"), np.int64), np.int64), len(found))
-    return found, total, where, [len(x) for x in low]
+def _pass_on(owners: int, depth: int):
+    def to_owners(rows: pa.Table) -> pa.Table:
+        """A bucket's distinct grams with their counts in all training texts, to the owners of their subtrees."""
+        grams, total, _ = _summed(rows, "grams", "n")
+        pair = grams >> np.uint64(8 * (depth - 1))
+        owner = bucket_of(pair * np.uint64(_SPREAD), owners)
+        order = np.argsort(owner, kind="stable")
+        made = message(0, owner[order], grams=grams[order], total=total[order])
+        bucket = rows.column("bucket")[0].as_py()
+        return made.rename_columns(["owner", "bucket", "grams", "total"]).set_column(1, "bucket", pa.array([bucket] * len(made), pa.int32()))
+
+    return to_owners
+
+
+def _owned(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """An owner's grams, which come from one bucket each, and their counts, in the order of the messages."""
+    return joined(unpack(rows.column("grams"), np.uint64), np.uint64), joined(unpack(rows.column("total"), np.int64), np.int64)
 
 
 def _bits(grams: np.ndarray):
@@ -181,16 +196,11 @@ def _tree(grams: np.ndarray, total: np.ndarray, depth: int) -> dict[int, tuple]:
     return levels
 
 
-def _first_byte(pair: np.ndarray) -> np.ndarray:
-    return ((pair * np.uint64(_BACK)) & np.uint64(65535)) >> np.uint64(8)
-
-
 def _grow(depth: int):
     def sums(rows: pa.Table) -> pa.Table:
-        """What this bucket adds to the nodes of depth 1: zeros, ones, log probability of the children."""
-        grams, total, _, _ = _bucket_grams(rows)
-        nodes, zeros, ones, _, log = _tree(grams, total, depth)[2]
-        up = (_first_byte(nodes >> np.uint64(8)) << np.uint64(8)) | (nodes & np.uint64(255))
+        """What this owner adds to the nodes of depth 1: zeros, ones, log probability of the children."""
+        nodes, zeros, ones, _, log = _tree(*_owned(rows), depth)[2]
+        up = ((nodes >> np.uint64(16)) << np.uint64(8)) | (nodes & np.uint64(255))
         found, where = np.unique(up, return_inverse=True)
         add = [np.bincount(where, x, len(found)) for x in (zeros, ones, log)]
         return pa.table(
@@ -221,23 +231,19 @@ def _mixed(p: np.ndarray, at: np.ndarray, nodes: np.ndarray, weight: np.ndarray,
     return np.where(nodes[spot] == at, weight[spot] * one[spot] + (1 - weight[spot]) * p, 0.5)
 
 
-def _answer(depth: int):
-    def answer(rows: pa.Table, top: pa.Table) -> pa.Table:
-        none = np.empty(0, np.int64)
-        words = joined(unpack(rows.column("words"), np.uint64), np.uint64) if rows.num_rows else none
-        seen = joined(unpack(rows.column("seen"), np.int64), np.int64) if rows.num_rows else none
-        found, where = np.unique(words, return_inverse=True)
-        count = np.bincount(where, seen, len(found)).astype(np.int64)
-        own = count[where]
-        grams, total, spots, sizes = _bucket_grams(rows) if rows.num_rows else (none.astype(np.uint64), none, none, [])
+def _weigh(depth: int):
+    def weigh(rows: pa.Table, top: pa.Table) -> pa.Table:
+        """log10 probability of the last byte of each of an owner's grams, by bucket."""
+        if not rows.num_rows:
+            return pa.table({"bucket": pa.array([], pa.int32()), "grams": pa.array([], pa.binary()), "log": pa.array([], pa.binary())})
+        grams, total = _owned(rows)
         levels = _tree(grams, total, depth)
         packed = lambda c, kind: unpack(top.column(c), kind)[0] if top.num_rows else np.empty(0, kind)
         kinds = {"node": np.int32, "weight": np.float64, "one": np.float64}
         first = [packed(c, k) for c, k in kinds.items()]
         root = [packed(c, k) for c, k in zip(("root", "root_weight", "root_one"), kinds.values(), strict=True)]
-        log = np.zeros(len(grams))
-        context = grams >> np.uint64(8)
-        byte = _first_byte(grams >> np.uint64(32)) << np.uint64(8)
+        log, context = np.zeros(len(grams)), grams >> np.uint64(8)
+        byte = (grams >> np.uint64(8 * depth)) << np.uint64(8)
         for node, bit in _bits(grams):
             p = np.full(len(grams), 0.5)
             for level in range(depth, 1, -1):
@@ -247,22 +253,29 @@ def _answer(depth: int):
             p = _mixed(p, (byte | node).astype(np.int32), *first)
             p = _mixed(p, node.astype(np.int32), *root)
             log += np.log10(np.where(bit == 1, p, 1 - p))
-        log = log.astype(np.float32)[spots]
-        split = lambda a, n: [a[i:j].tobytes() for i, j in zip(np.cumsum([0, *n]), np.cumsum(n), strict=False)]
-        n_words = [len(x) for x in unpack(rows.column("words"), np.uint64)]
-        n = rows.num_rows
-        return pa.table(
-            {
-                "block": rows.column("block"),
-                "bucket": rows.column("bucket"),
-                "count": pa.array(split(own, n_words), pa.binary()),
-                "log": pa.array(split(log, sizes), pa.binary()),
-                "tokens": pa.array([int(count.sum())] * n, pa.int64()),
-                "vocabulary": pa.array([int((count > 0).sum())] * n, pa.int64()),
-            }
-        )
-
-    return answer
+        bounds = np.cumsum([0, *map(len, unpack(rows.column("grams"), np.uint64))])
+        logs = [log[i:j].astype(np.float32).tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
+        return pa.table({"bucket": rows.column("bucket"), "grams": rows.column("grams"), "log": pa.array(logs, pa.binary())})
+
+    return weigh
+
+
+def _answer(rows: pa.Table, logs: pa.Table) -> pa.Table:
+    """For each block: corpus counts of its words and log10 probabilities of its grams, in the order it sent them."""
+    kinds = {"block": pa.int32(), "bucket": pa.int32(), "count": pa.binary(), "log": pa.binary(), "tokens": pa.int64(), "vocabulary": pa.int64()}
+    if not rows.num_rows:
+        return pa.table({c: pa.array([], k) for c, k in kinds.items()})
+    _, count, where = _summed(rows, "words", "seen")
+    known = joined(unpack(logs.column("grams"), np.uint64), np.uint64)
+    order = np.argsort(known)
+    value = joined(unpack(logs.column("log"), np.float32), np.float32)[order]
+    _, where_gram = ranked(joined(unpack(rows.column("grams"), np.uint64), np.uint64))
+    split = lambda a, c: [a[i:j].tobytes() for i, j in zip(np.cumsum([0, *c]), np.cumsum(c), strict=False)]
+    sizes = [[len(x) for x in unpack(rows.column(c), np.uint64)] for c in ("words", "grams")]
+    n = rows.num_rows
+    made = [rows.column("block"), rows.column("bucket"), split(count[where], sizes[0]), split(value[where_gram], sizes[1])]
+    made += [[int(count.sum())] * n, [int((count > 0).sum())] * n]
+    return pa.table({c: a if isinstance(a, pa.ChunkedArray) else pa.array(a, k) for (c, k), a in zip(kinds.items(), made, strict=True)})
 
 
 def _add(depth: int):
@@ -284,17 +297,15 @@ def _add(depth: int):
             logs = sums(np.log10(count + 0.5)) + math.log10(count_end + 0.5)
             tokens = np.diff(b.starts) + 1
             base = logs - tokens * math.log10(n + 0.5 * (v + 1))
-            grams = _distinct(b, depth)
-            log = joined(unpack(answers.column("log"), np.float32), np.float32).astype(np.float64)
+            del count
+            parts = [(first, last, *ranked(keys), bounds) for first, last, keys, bounds in chunks(b, depth)]
+            grams = np.unique(np.concatenate([p[2] for p in parts]))
+            log = np.empty(len(grams))
+            log[np.argsort(grams * np.uint64(_SPREAD))] = joined(unpack(answers.column("log"), np.float32), np.float32)
             score = np.empty(len(tokens))
-            for first, last, keys, bounds in chunks(b, depth):
-                order = np.argsort(keys)
-                own = keys[order]
-                new = np.ones(len(own), bool)
-                new[1:] = own[1:] != own[:-1]
-                value = np.empty(len(own))
-                value[order] = log[np.searchsorted(grams, own[new])][np.cumsum(new) - 1]
-                score[first:last] = np.add.reduceat(value, bounds[:-1])
+            for first, last, own, rank, bounds in parts:
+                value = log[np.searchsorted(grams, own)]
+                score[first:last] = np.add.reduceat(value[rank], bounds[:-1])
             rows = {
                 "doc": b.raw_ids, "held_out": [is_held_out(i) for i in b.raw_ids], "n_tokens": tokens, "n_known": known,
                 "train_tokens": np.full(len(tokens), n), "base_score": base, "score": score,
@@ -305,13 +316,8 @@ def _add(depth: int):
     return scores
 
 
-def _distinct(b: Block, depth: int) -> np.ndarray:
-    parts = [np.unique(keys) for _, _, keys, _ in chunks(b, depth)]
-    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
-
-
 def score(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = 8 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = 6 << 20
 ) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document.
 
@@ -320,18 +326,23 @@ def score(
     if not 2 <= depth <= 5:
         raise ValueError("depth is 2 to 5")
     dealt, n = deal(docs, id_col, text_col, block_bytes)
-    buckets = min(n, 4096)
-    by_block = dealt.groupBy("block")
-    sent = by_block.applyInArrow(
-        _send(buckets, depth), "bucket int, block int, words binary, seen binary, pair binary, low binary, n binary"
+    buckets = n_buckets(docs, n)
+    owners = min(buckets, 4096)  # pairs of bytes have no more use for
+    sent = dealt.groupBy("block").applyInArrow(
+        _send(buckets, depth), "bucket int, block int, words binary, seen binary, grams binary, n binary"
     )
-    sums = sent.groupBy("bucket").applyInArrow(_grow(depth), "node int, zeros double, ones double, below double")
+    by_bucket = sent.groupBy("bucket")
+    owned = by_bucket.applyInArrow(_pass_on(owners, depth), "owner int, bucket int, grams binary, total binary")
+    sums = owned.groupBy("owner").applyInArrow(_grow(depth), "node int, zeros double, ones double, below double")
     sums = sums.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
     kinds = "node binary, weight binary, one binary, root binary, root_weight binary, root_one binary"
-    top = sums.groupBy(F.lit(0).alias("all")).applyInArrow(lambda rows: _top(rows.drop_columns(["all"]) if "all" in rows.column_names else rows), kinds)
-    top = top.select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "*")
-    answers = sent.groupBy("bucket").cogroup(top.groupBy("bucket")).applyInArrow(
-        _answer(depth), "block int, bucket int, count binary, log binary, tokens bigint, vocabulary bigint"
+    top = sums.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_top, kinds)
+    top = top.select(F.explode(F.sequence(F.lit(0), F.lit(owners - 1))).alias("owner"), "*")
+    logs = owned.groupBy("owner").cogroup(top.groupBy("owner")).applyInArrow(
+        _weigh(depth), "bucket int, grams binary, log binary"
+    )
+    answers = sent.groupBy("bucket").cogroup(logs.groupBy("bucket")).applyInArrow(
+        _answer, "block int, bucket int, count binary, log binary, tokens bigint, vocabulary bigint"
     )
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _add(depth),
