@@ -26,6 +26,8 @@ holds the blank sign U+2581 itself decodes to a blank there, as with the library
 from __future__ import annotations
 
 import pickle
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,8 @@ from ._common import shuffle_partitions, written
 BLANK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32768
-_MEMO = 150_000
+_MEMO = 60_000
+_RUN = re.compile(r"[^\W\d_]+|.", re.S)
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
 
@@ -122,6 +125,7 @@ class Scanner:
         self.model = model
         self.compatible: dict[tuple[str, str], bool] = {}
         self.words, self.parts = Memo(), Memo()
+        self.last: dict[str, str] = {}  # by the beginning of a stretch between cuts
         edges = model.vocab
         self.halves: dict[str, tuple[str, str]] = {}
         if model.bpe:
@@ -141,7 +145,7 @@ class Scanner:
         key = (a, b)
         found = self.compatible.get(key)
         if found is None:
-            if len(self.compatible) > 1_000_000:
+            if len(self.compatible) > 5 * _MEMO:
                 self.compatible.clear()
             # Pieces of blank signs alone share one score, so only merging itself tells their order.
             blanks = a[-1] == BLANK and b[0] == BLANK
@@ -173,38 +177,50 @@ class Scanner:
     def segment(self, s: str) -> list[str]:
         """The best path over ``s``, entered and left at cuts."""
         n, longest, edges = len(s), self.model.longest, self.edges
-        if self.model.bpe and s in edges:
-            return [s]
-        back: list[int] = [0] * (n + 1)
         if self.model.bpe:
-            last, known = [""] * (n + 1), self.compatible.get
-            for end in range(1, n + 1):
-                for start in range(end - longest if end > longest else 0, end):
-                    piece = s[start:end]
-                    if piece in edges or start == end - 1:
-                        ok = True
-                        if start:
-                            ok = known((last[start], piece))
-                            if ok is None:
-                                ok = self.follows(last[start], piece)
-                        if ok:
-                            last[end], back[end] = piece, start
-                            break
-        else:
-            best = [0.0] + [-np.inf] * n
-            for end in range(1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = s[start:end]
-                    if piece in edges or start == end - 1:
-                        w = best[start] + self.weight(piece)
-                        if w > best[end]:
-                            best[end], back[end] = w, start
+            return [s] if s in edges else self._chain(s)
+        back: list[int] = [0] * (n + 1)
+        best = [0.0] + [-np.inf] * n
+        for end in range(1, n + 1):
+            for start in range(max(0, end - longest), end):
+                piece = s[start:end]
+                if piece in edges or start == end - 1:
+                    w = best[start] + self.weight(piece)
+                    if w > best[end]:
+                        best[end], back[end] = w, start
         out, at = [], n
         while at:
             out.append(s[back[at] : at])
             at = back[at]
         return out[::-1]
 
+    def _chain(self, s: str) -> list[str]:
+        """The chain of compatible pieces over ``s``; the last piece of every beginning is memoised."""
+        n, longest, edges, known, last = len(s), self.model.longest, self.edges, self.compatible.get, self.last
+        if len(last) > 3 * _MEMO:
+            last.clear()
+        done = n
+        while done and s[:done] not in last:
+            done -= 1
+        for end in range(done + 1, n + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                piece = s[start:end]
+                if piece in edges or start == end - 1:
+                    ok = True
+                    if start:
+                        before = last[s[:start]]
+                        ok = known((before, piece))
+                        if ok is None:
+                            ok = self.follows(before, piece)
+                    if ok:
+                        last[s[:end]] = piece
+                        break
+        out, at = [], n
+        while at:
+            out.append(last[s[:at]])
+            at -= len(out[-1])
+        return out[::-1]
+
     def ids(self, pieces: list[str]) -> list[int]:
         out, model = [], self.model
         for p in pieces:
@@ -218,17 +234,25 @@ class Scanner:
         return out
 
     def part(self, s: str) -> bytes:
-        """Packed ids of ``s``, entered and left at cuts; memoised between the cuts inside."""
+        """Packed ids of ``s``, entered and left at cuts; memoised between cuts next to signs and line breaks."""
         out, at, beside, memo = [], 0, self.model.beside, self.parts
-        for i in range(1, len(s) + 1):
+        for m in _RUN.finditer(s):
+            i = m.end()
             if i == len(s) or s[i - 1 : i + 1] not in beside:
                 own, at = s[at:i], i
                 found = memo.new.get(own) or memo.again(own)
-                out.append(found or memo.put(own, np.array(self.ids(self.segment(own)), np.int32).tobytes()))
+                out.append(found or memo.put(own, self.packed(own)))
         return b"".join(out)
 
+    def packed(self, s: str) -> bytes:
+        return array("i", self.ids(self.segment(s))).tobytes()
+
     def word(self, word: bytes) -> bytes:
-        return self.words.again(word) or self.words.put(word, self.part(BLANK + word.decode()))
+        found = self.words.again(word)
+        if found is None:
+            text = word.decode()
+            found = self.words.put(word, self.packed(BLANK + text) if text.isalpha() else self.part(BLANK + text))
+        return found
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a whole text, as packed 32-bit integers."""
@@ -329,7 +353,7 @@ class Scanner:
             return [] if start >= b else self.ids(back(self.paths(s, start, entry[1], b), to))
         head = back(self.paths(s, start, entry[1], cut[0]), (cut[0], None))
         tail = back(self.paths(s, cut[1], None, b), to)
-        return self.ids(head + self.pieces_between(s, *cut) + tail)
+        return self.ids(head) + np.frombuffer(self.part(s[cut[0] : cut[1]]), np.int32).tolist() + self.ids(tail)
 
 
 def product(a: dict, b: dict) -> dict:
@@ -374,14 +398,23 @@ def load(path: str) -> bytes:
         return f.read()
 
 
+_models: dict[int, Model] = {}
 _scanners: dict[int, Scanner] = {}
 
 
+def _model(shared) -> Model:
+    """One model per worker."""
+    if shared.id not in _models:
+        _models.clear()
+        _models[shared.id] = Model(shared.value)
+    return _models[shared.id]
+
+
 def _scanner(shared) -> Scanner:
     """One scanner, with its memos, per worker and model."""
     if shared.id not in _scanners:
         _scanners.clear()
-        _scanners[shared.id] = Scanner(Model(shared.value))
+        _scanners[shared.id] = Scanner(_model(shared))
     return _scanners[shared.id]
 
 
@@ -495,7 +528,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", model: str
     at = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _scanner(shared).model
+        model = _model(shared)
         plain = model.plain.__getitem__
         for batch in batches:
             lists = batch.column(at)
