@@ -15,8 +15,8 @@ from leafspark.llm._common import scratch_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or their host's verdict reject go."""
-    return quality.keep_good(docs)
+    """Documents that the rules or their host's rate reject go."""
+    return quality.keep_good(docs, strict=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

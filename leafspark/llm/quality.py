@@ -5,6 +5,11 @@ failure rate is shrunk towards all hosts with a beta prior fitted to them (metho
 verdict on the host goes back to its documents: a document that fails a soft rule goes only if its host's
 shrunk rate is high too. Documents that fail no rule always stay.
 
+``kept`` is that verdict, at the fixed ``host_rate``, as the query's SQL states it. Hosts of ordinary rates
+never reach it, so ``rejected`` also lets the rate decide how far a document may exceed a soft limit: its
+severity (value over limit, the worst of the soft rules) times the host's shrunk rate over the mean rate must
+stay under ``slack``, and severity alone under ``severe`` on any host. The pipeline goes by ``rejected``.
+
 Plan: one scan measures the texts row by row (no shuffle); the measures, some 60 bytes a document, are
 written once, aggregated by host with map-side sums, and joined with the host table by sort-merge, whose
 hot hosts adaptive execution splits.
@@ -37,6 +42,8 @@ class Rules:
     min_mean_word: int = 2
     max_mean_word: int = 14
     host_rate: float = 0.5
+    slack: float = 1.25
+    severe: float = 3.0
 
 
 def _let(value: Column, use) -> Column:
@@ -99,7 +106,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def host_verdicts(measured: DataFrame, rules: Rules) -> DataFrame:
-    """One row per ``host``: documents, failures and whether the shrunk rate reaches ``rules.host_rate``.
+    """One row per ``host``: whether the shrunk rate reaches ``rules.host_rate``, and its ratio to the mean rate.
 
     The prior has the mean and variance of the hosts' rates, both summed as integers in parts per
     million, so the result does not depend on the order of summing.
@@ -115,13 +122,14 @@ def host_verdicts(measured: DataFrame, rules: Rules) -> DataFrame:
     strength = mean * (1 - mean) / var - 1 if var > 0 else 0.0
     a, b = max(mean * strength, 0.0), max((1 - mean) * strength, 0.0)
     rate = (F.col("f") + F.lit(a)) / (F.col("n") + F.lit(a + b))
-    return hosts.select("host", (rate >= rules.host_rate).alias("host_bad"))
+    ratio = rate / F.lit(mean) if mean else F.lit(1.0)
+    return hosts.select("host", (rate >= rules.host_rate).alias("host_bad"), ratio.alias("host_ratio"))
 
 
 def judge(
     docs: DataFrame, keep: list[str], text_col: str = "text", host_col: str = "source", rules: Rules = Rules()
 ) -> DataFrame:
-    """``keep`` columns of every document with its measures, base_failed, soft_failed, host_bad and kept."""
+    """``keep`` columns of every document with its measures, base_failed, soft_failed, host_bad, kept and rejected."""
     rows = measure(
         docs.select(
             *[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)],
@@ -138,25 +146,36 @@ def judge(
         | (F.col("word_chars") < rules.min_mean_word * n)
         | (F.col("word_chars") > rules.max_mean_word * n)
     )
+    over = lambda a, b: a.cast("double") / F.greatest(b, F.lit(1))
+    severity = F.greatest(
+        over(100 * F.col("n_symbols"), rules.max_symbol_pct * F.col("word_chars")),
+        over(100 * F.col("n_dup_lines"), rules.max_dup_line_pct * F.col("n_lines")),
+        over(rules.min_mean_word * n, F.col("word_chars")),
+        over(F.col("word_chars"), rules.max_mean_word * n),
+    )
     rows = rows.withColumns({"base_failed": base, "soft_failed": soft})
     rows = written(rows.withColumn("failed", F.col("base_failed") | F.col("soft_failed")))
     judged = rows.join(host_verdicts(rows, rules), "host", "left")
+    by_host = F.col("host_bad") | (severity >= rules.severe) | (severity * F.col("host_ratio") >= rules.slack)
     return judged.select(
         *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)],
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "soft_failed", "host_bad",
         (~F.col("base_failed") & ~(F.col("soft_failed") & F.col("host_bad"))).alias("kept"),
+        (F.col("base_failed") | (F.col("soft_failed") & by_host)).alias("rejected"),
     )
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents whose verdict is to keep them, with all their columns.
+def keep_good(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strict: bool = False, **how
+) -> DataFrame:
+    """The documents that are kept, or with ``strict`` those not rejected, with all their columns.
 
     Rows are matched by id and a hash of the text, so repeated ids with other texts keep their own verdict.
     """
     tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     tagged = docs.withColumn("_tag", tag)
-    bad = judge(tagged, [id_col, "_tag"], text_col, **how).where(~F.col("kept"))
+    bad = judge(tagged, [id_col, "_tag"], text_col, **how).where(F.col("rejected") if strict else ~F.col("kept"))
     bad = bad.select(F.col(id_col).alias("_bad"), F.col("_tag").alias("_bad_tag")).distinct()
     same = F.col(id_col).eqNullSafe(F.col("_bad")) & (F.col("_tag") == F.col("_bad_tag"))
     return tagged.join(bad, same, "left_anti").drop("_tag")

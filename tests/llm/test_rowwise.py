@@ -118,6 +118,19 @@ def test_bad_host_loses_only_failing_documents(spark):
     assert not any(kept[i] for i in range(30)) and kept[100] and kept[101] and all(kept[200 + i] for i in range(60))
 
 
+def test_ordinary_host_rates_decide_soft_failures(spark):
+    clean = "plain words in a row that say enough to be kept here by the rule for sure and more of them than it asks "
+    mild, severe = clean + "#" * 12, clean + "#" * 60
+    rows = [(1000 * h + i, clean + f"{h} {i}", f"h{h}") for h in range(10) for i in range(40)]
+    rows += [(100 + i, severe + f" {i}", "h0") for i in range(20)] + [(1100, mild, "h1"), (200, mild, "h0"), (2200, severe, "h2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    judged = {r["doc_id"]: r for r in quality.judge(df, ["doc_id"]).collect()}
+    assert not any(r["host_bad"] for r in judged.values())
+    assert judged[200]["soft_failed"] and judged[1100]["soft_failed"]
+    kept = {r["doc_id"] for r in quality.keep_good(df, strict=True).collect()}
+    assert kept == {r[0] for r in rows} - {*range(100, 120), 200, 2200}
+
+
 library = pytest.importorskip("sentencepiece")
 
 
