@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines are cut out of the texts; ``n_chars`` follows."""
-    cut = lines.dedup_lines(docs)
+    """Repeated runs of lines, and shorter ones of many words, are cut out of the texts; ``n_chars`` follows."""
+    cut = lines.dedup_lines(docs, long_words=lines.LONG_WORDS)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -4,11 +4,14 @@ A line is normalised by squeezing white space; lines without a word are skipped
 ``run`` consecutive lines of one document is *repeated* if the same lines also start earlier: in a document
 of smaller id, or earlier in the same one. Every line inside a repeated run is deleted, judged on the input.
 
-Method: in every window of ``run`` lines the line of the smallest hash is selected, so any shared run has a
+With ``long_words``, a run of fewer than ``run`` lines is repeated too if it has more words than that, so a
+repeated passage of more than ``long_words`` words in whole lines is deleted however few lines it fills. The
+query's SQL knows runs of ``run`` lines only, so this is off unless asked for; the pipeline asks for it.
+
+Method: in every window of ``run`` lines (and of fewer lines, if long enough) the line of the smallest hash is selected, so any shared run has a
 selected line at the same place in both copies (the winnowing guarantee). Selected lines (fingerprints) are
 counted by hash with map-side combining; those found once in the corpus cannot be in a shared run and end
-there. Around the others the match is extended both ways: every window of ``run`` lines that selects that
-line is keyed by the hash of its whole content, the earliest place of each key is found by a map-side
+there. Around the others the match is extended both ways: every window that selects that line is keyed by the hash of its whole content, the earliest place of each key is found by a map-side
 minimum, and windows at later places go back to their documents. Overlapping windows add up to the maximal
 repeated runs, whatever copy they came from.
 
@@ -17,7 +20,7 @@ sort-merge joins with the aggregate, whose hot keys adaptive execution splits. N
 
 Edge cases: null texts stay null and are never touched; empty texts stay. Repeated rows with one id are
 ordered by a hash of the text; identical rows of one id count as the same document, so both stay or lose
-the same lines. Documents shorter than ``run`` lines lose nothing. Lines are compared by 128-bit hashes.
+the same lines. Without ``long_words``, documents shorter than ``run`` lines lose nothing. Lines are compared by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from ._common import written
 
 RUN = 3
+LONG_WORDS = 50
 
 
 def _lines(text: bytes) -> tuple[list[bytes], list[int]]:
@@ -41,28 +45,35 @@ def _lines(text: bytes) -> tuple[list[bytes], list[int]]:
     return lines, [i for i, line in enumerate(lines) if line.strip(b" \t\x0b\x0c\r")]
 
 
-def windows(text: bytes, run: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(start, selected line, its hash, content key) of every window of ``run`` lines with words."""
+def windows(text: bytes, run: int, long_words: int | None = None) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(start, lines, selected line, its hash, content key) of every window of ``run`` lines with words.
+
+    With ``long_words`` also of every window of fewer lines that has more words.
+    """
     lines, at = _lines(text)
-    if len(at) < run:
+    if len(at) < (1 if long_words is not None else run):
         return
-    full = [xxhash.xxh3_128_digest(b" ".join(lines[i].split())) for i in at]
+    words = [lines[i].split() for i in at]
+    full = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
     marks = [int.from_bytes(h[:8], "little", signed=True) for h in full]
-    for k in range(len(at) - run + 1):
-        mark = min(marks[k : k + run])
-        yield k, marks.index(mark, k), mark, xxhash.xxh3_128_digest(b"".join(full[k : k + run]))
+    for size in range(1 if long_words is not None else run, run + 1):
+        for k in range(len(at) - size + 1):
+            if size == run or sum(map(len, words[k : k + size])) > long_words:
+                mark = min(marks[k : k + size])
+                yield k, size, marks.index(mark, k), mark, xxhash.xxh3_128_digest(b"".join(full[k : k + size]))
 
 
-def _fingerprints(run: int):
+def _fingerprints(run: int, long_words: int | None):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts, lines, marks, keys = [], [], [], [], []
+            ids, starts, sizes, lines, marks, keys = [], [], [], [], [], []
             for i, text in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), strict=True):
                 if text.is_valid:
                     doc = i.as_py()
-                    for start, line, mark, key in windows(text.as_py(), run):
+                    for start, size, line, mark, key in windows(text.as_py(), run, long_words):
                         ids.append(doc)
                         starts.append(start)
+                        sizes.append(size)
                         lines.append(line)
                         marks.append(mark)
                         keys.append(key)
@@ -70,45 +81,55 @@ def _fingerprints(run: int):
                 [
                     pa.array(ids, batch.column(0).type),
                     pa.array(np.array(starts, "int32")),
+                    pa.array(np.array(sizes, "int32")),
                     pa.array(np.array(lines, "int32")),
                     pa.array(np.array(marks, "int64")),
                     pa.array(keys, pa.binary()),
                 ],
-                names=["doc", "start", "line", "mark", "key"],
+                names=["doc", "start", "size", "line", "mark", "key"],
             )
 
     return of
 
 
-def _cut(text: bytes, starts: list[int], run: int) -> tuple[bytes, int, int]:
-    """The text without the lines of the windows at ``starts``, lines deleted, lines with words."""
+def _cut(text: bytes, found: list[dict]) -> tuple[bytes, int, int]:
+    """The text without the lines of the windows ``found``, lines deleted, lines with words."""
     lines, at = _lines(text)
-    gone = {at[k + j] for k in starts for j in range(run)}
+    gone = {at[w["start"] + j] for w in found for j in range(w["size"])}
     return b"\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone), len(at)
 
 
-def repeated_windows(docs: DataFrame, key_col: str, text_col: str = "text", run: int = RUN) -> DataFrame:
-    """``doc`` (from ``key_col``) and ``starts``: its windows whose lines also start earlier."""
+def repeated_windows(
+    docs: DataFrame, key_col: str, text_col: str = "text", run: int = RUN, long_words: int | None = None
+) -> DataFrame:
+    """``doc`` (from ``key_col``), ``start`` and ``size`` of its windows whose lines also start earlier."""
     src = docs.select(F.col(key_col).alias("doc"), F.col(text_col).alias("text"))
     kind = src.schema["doc"].dataType.simpleString()
-    rows = written(src.mapInArrow(_fingerprints(run), f"doc {kind}, start int, line int, mark bigint, key binary"))
+    schema = f"doc {kind}, start int, size int, line int, mark bigint, key binary"
+    rows = written(src.mapInArrow(_fingerprints(run, long_words), schema))
     line = F.struct("doc", "line")
     marks = rows.groupBy("mark").agg(F.min(line).alias("first"), F.max(line).alias("last"))
     near = rows.join(marks.where("first <> last").select("mark"), "mark", "left_semi")
-    near = written(near.select("doc", "start", "key"))
+    near = written(near.select("doc", "start", "size", "key"))
     place = F.struct("doc", "start")
     keys = near.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     later = near.join(keys.where("first <> last").select("key", "first"), "key").where(place != F.col("first"))
-    return later.select("doc", "start")
+    return later.select("doc", "start", "size")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    run: int = RUN,
+    long_words: int | None = None,
+) -> DataFrame:
     """``docs`` with repeated runs of lines deleted from the text, and n_lines, n_deleted appended."""
     tag = F.xxhash64(F.col(text_col))
     tagged = docs.withColumn("_doc", F.struct(F.col(id_col).alias("id"), tag.alias("tag")))
-    found = repeated_windows(tagged.select("_doc", text_col), "_doc", text_col, run)
-    starts = found.groupBy("doc").agg(F.sort_array(F.collect_set("start")).alias("_starts"))
-    joined = tagged.join(starts, F.col("_doc").eqNullSafe(F.col("doc")), "left").drop("doc", "_doc")
+    found = repeated_windows(tagged.select("_doc", text_col), "_doc", text_col, run, long_words)
+    found = found.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("_found"))
+    joined = tagged.join(found, F.col("_doc").eqNullSafe(F.col("doc")), "left").drop("doc", "_doc")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_lines bigint, n_deleted bigint"
@@ -119,7 +140,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             arrays = list(batch.columns)
             texts, lines, gone = [], [], []
             for text, own in zip(arrays[at].cast(pa.large_binary()), arrays.pop(), strict=True):
-                new, cutting, total = (None, 0, 0) if not text.is_valid else _cut(text.as_py(), own.as_py() or [], run)
+                new, cutting, total = (None, 0, 0) if not text.is_valid else _cut(text.as_py(), own.as_py() or [])
                 texts.append(new)
                 lines.append(total)
                 gone.append(cutting)
@@ -127,4 +148,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             arrays += [pa.array(lines, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "n_lines", "n_deleted"])
 
-    return joined.select(*columns, "_starts").mapInArrow(cut, schema)
+    return joined.select(*columns, "_found").mapInArrow(cut, schema)

@@ -85,6 +85,17 @@ def test_lines(spark, docs, empty):
     assert copies.count() == 1  # the identical rows of one id keep the same lines
 
 
+def test_long_passages_of_few_lines(spark):
+    rng = random.Random(2)
+    line = lambda k: " ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(k))
+    one, two, exact = line(51), line(26) + "\n" + line(25), line(50)
+    rows = [(1, one), (2, "own words\n" + one + "\nmore"), (3, one), (4, two), (5, "x\n\n" + two.replace(" ", "  ") + "\ny"), (6, exact), (7, exact)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cut = {r["doc_id"]: (r["text"], r["n_deleted"]) for r in lines.dedup_lines(df, long_words=50).collect()}
+    assert cut == {1: (one, 0), 2: ("own words\nmore", 1), 3: ("", 1), 4: (two, 0), 5: ("x\n\ny", 2), 6: (exact, 0), 7: (exact, 0)}
+    assert all(r["n_deleted"] == 0 for r in lines.dedup_lines(df).collect())
+
+
 def brute_classes(rows):
     sets, parent = {}, {}
     for own, text in rows:
