@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafspark.llm import decontam, lines, ngram_join, quality, sentencepiece_scan
-from leafspark.llm._common import scratch_dir, table
+from leafspark.llm._common import scratch_dir, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each class of near copies stays."""
-    classes = ngram_join.link_classes(docs)
-    copies = classes.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of near copies stays: that of the smallest id, a null id after all others.
+
+    Rows are linked by a number of their own, as ids may be null or repeated.
+    """
+    rows = written(docs.withColumn("_node", F.monotonically_increasing_id()))
+    # Blocks are counted by bytes on disk, and these files are smaller than the stages' own.
+    classes = ngram_join.link_classes(rows, "_node", block_bytes=3 << 20).select("_node", "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("tag"), "_node")
+    firsts = rows.select("_node", order.alias("order")).join(classes, "_node")
+    firsts = firsts.groupBy("component_id").agg(F.min("order").alias("order")).select("order._node")
+    return rows.join(firsts, "_node", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,16 @@ def test_pipeline(spark, folder):
         assert r["ids"] == theirs.encode(r["text"]) and r["round_trip"] and r["n_chars"] == len(r["text"]) and r["n_pieces"] == len(r["ids"])
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    one, two, three = (" ".join(f"{name}{i}" for i in range(40)) for name in ("a", "b", "c"))
+    near = one.replace("a39", "changed")
+    rows = [(None, one), (7, one), (5, near), (3, two), (3, two), (4, two), (None, three), (None, three), (None, "alone " + two[:60]), (9, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    want = [(5, near), (3, two), (None, three), (None, "alone " + two[:60]), (9, ""), (None, None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_stages_keep_the_columns(spark, folder):
     path = folder[0]
     docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("n_words", docs_extra())
