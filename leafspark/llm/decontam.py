@@ -10,7 +10,9 @@ the executors, so what is broadcast has a fixed bound, and several slices mean s
 are merged per document. Documents are never shuffled with one slice.
 
 Edge cases: null and empty texts have no words and are never hit; items without words are ignored; repeated
-rows are judged one by one; items with the same id count once; an empty benchmark hits nothing.
+rows are judged one by one; items with the same id count once; an empty benchmark hits nothing. Items
+without an id are one item named null, last in ``items`` and, as in the query's SQL, counted in n_items but
+left out of the digest's names.
 """
 
 from __future__ import annotations
@@ -45,9 +47,9 @@ class Patterns:
         self.length, self.block = length, min(2, length)
         self.furthest = length - self.block + 1
         self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[tuple, set[str]]] = {}
+        self.buckets: dict[tuple, dict[tuple, set[str | None]]] = {}
 
-    def add(self, pattern: tuple, item: str) -> None:
+    def add(self, pattern: tuple, item: str | None) -> None:
         for end in range(self.block, self.length + 1):
             key = pattern[end - self.block : end]
             self.shift[key] = min(self.shift.get(key, self.furthest), self.length - end)
@@ -69,7 +71,7 @@ class Patterns:
             at += 1
 
 
-def compile_patterns(items: list[tuple[str, bytes | None]], window: int = WINDOW) -> list[Patterns]:
+def compile_patterns(items: list[tuple[str | None, bytes | None]], window: int = WINDOW) -> list[Patterns]:
     by_length: dict[int, Patterns] = {}
     for item, text in items:
         words = tuple(alnum_words(text))
@@ -92,7 +94,7 @@ def search(text: bytes | None, patterns: list[Patterns]) -> tuple:
             spans[-1][1] = max(spans[-1][1], end)
         else:
             spans.append([start, end])
-    return len(words), sum(b - a for a, b in spans), sorted(items), [tuple(s) for s in spans]
+    return len(words), sum(b - a for a, b in spans), sorted(items, key=lambda x: (x is None, x)), [tuple(s) for s in spans]
 
 
 def decontaminate(
@@ -108,7 +110,7 @@ def decontaminate(
     """``docs`` with the struct column ``out``: n_words, n_hit, items and spans of hit words."""
     items = benchmark.select(
         F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("text")
-    ).where("item is not null and text is not null")
+    ).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-size // slice_bytes))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(slices))

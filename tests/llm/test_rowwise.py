@@ -86,6 +86,18 @@ def test_decontamination(spark, docs, empty):
     assert decontam.decontaminate(empty, bench).count() == 0
 
 
+def test_items_without_an_id_are_found(spark):
+    passages = [" ".join(f"{name}{i}" for i in range(13)) for name in "abc"]
+    items = [(None, passages[0]), (None, passages[1]), (4, passages[2]), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [passages[0], " ".join(passages), passages[2], "none of them"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (16 << 20, 60):
+        made = decontam.decontaminate(df, bench, slice_bytes=size).select("doc_id", "hits.*", decontam.contaminated().alias("c"))
+        got = {r["doc_id"]: (r["n_hit"], r["items"], r["c"]) for r in made.collect()}
+        assert got == {0: (13, [None], True), 1: (39, ["4", None], True), 2: (13, ["4"], True), 3: (0, [], False)}
+
+
 def brute_quality(text):
     text = text or ""
     words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
