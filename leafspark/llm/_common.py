@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,9 @@ ALNUM = bytes(
 )
 
 
+_SLICE = 2 << 20
+
+
 def alnum_words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; none for null."""
     return text.translate(ALNUM).split() if text else []
@@ -51,18 +57,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Delete this application's scratch tables; results that still read them must be stored first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def input_bytes(df: DataFrame, text_col: str) -> int:
-    """Catalyst's size estimate, which for a scan is the size of its files; measured where there is none."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    found = int(str(plan.stats().sizeInBytes()))
-    if plan.collectLeaves().size() == 1 and found < 1 << 50:
-        return found
+def text_bytes(df: DataFrame, text_col: str) -> int:
     return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
@@ -70,17 +79,50 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A corpus of more than this many blocks gets larger ones, up to so many times as large.
+_BLOCKS, _LARGER = 8192, 8
+
+
 def n_blocks(df: DataFrame, text_col: str, target: int) -> int:
-    """How many groups of documents to deal out, each about ``target`` bytes on disk."""
-    return max(shuffle_partitions(df), -(-input_bytes(df, text_col) // target))
+    """How many groups of documents to deal out, of about ``target`` bytes of text each.
 
+    Beyond ``_BLOCKS`` blocks their size rises with the root of the corpus, up to ``_LARGER`` times, so that messages
+    between blocks and buckets, one for each pair of them, grow no faster than the corpus.
+    """
+    total = text_bytes(df, text_col)
+    target *= min(_LARGER, max(1.0, (total / (_BLOCKS * target)) ** 0.5))
+    return max(shuffle_partitions(df), math.ceil(total / target))
 
-def with_result(
-    df: DataFrame, text_col: str, out: str, fields: T.StructType, make: Callable[[], Callable[[bytes | None], tuple]]
+
+def join_split(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``table`` (written, one row a ``key``, with the rows of each key as ``n``) where both have it.
+
+    Keys with more than an eighth of a partition's share of the rows, of which there can be no more than eight a
+    partition, are broadcast, so a hot key's rows stay where they are; only the others are shuffled by key.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(1, total // (8 * shuffle_partitions(rows)))
+    heavy, light = F.broadcast(table.where(hot).drop("n")), table.where(~hot).drop("n")
+    rest = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti")
+    return rows.join(heavy, key).unionByName(rest.join(light, key))
+
+
+def slices(batch: pa.RecordBatch, at: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of some ``size`` bytes of the texts in column ``at``."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths, dtype=np.int64) // size
+    bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
+def with_results(
+    df: DataFrame, text_col: str, out: str, fields: T.StructType, make: Callable[[], Callable[[list[bytes | None]], list[tuple]]]
 ) -> DataFrame:
-    """Append the struct column ``out``, made from ``text_col`` row by row in Arrow batches.
+    """Append the struct column ``out``, made from ``text_col`` in Arrow batches without a shuffle.
 
-    ``make`` is called once per task and returns the function of one text (UTF-8 bytes, or None for null).
+    ``make`` is called once per task and returns the function of a list of texts (UTF-8 bytes, or None for null).
     All other columns pass through unchanged; an input column named ``out`` is replaced.
     """
     df = df.select(*[c for c in df.columns if c != out])
@@ -90,13 +132,25 @@ def with_result(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
         for batch in batches:
-            texts = batch.column(at).cast(pa.large_binary())
-            made = pa.array([of(t.as_py()) for t in texts], type=kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=schema.names)
+            for rows in slices(batch, at, _SLICE):
+                made = pa.array(of(rows.column(at).cast(pa.large_binary()).to_pylist()), type=kind)
+                yield pa.RecordBatch.from_arrays([*rows.columns, made], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def with_result(
+    df: DataFrame, text_col: str, out: str, fields: T.StructType, make: Callable[[], Callable[[bytes | None], tuple]]
+) -> DataFrame:
+    """As ``with_results``, from the function of one text."""
+
+    def each():
+        of = make()
+        return lambda texts: [of(t) for t in texts]
+
+    return with_results(df, text_col, out, fields, each)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

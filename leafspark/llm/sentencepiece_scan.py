@@ -15,8 +15,10 @@ length of context on either side, yields its transfer matrix: for each state in
 that reaches into the chunk or ends at its border) the best weight to each state in which it can leave. The
 matrices of a document are combined with the associative max-plus product, which gives the states at all
 borders of the best path; then each chunk is traced back on its own between its two states. Chunks, not
-documents, are spread over the cluster, and only matrices of a document meet in one task. Other documents are
-one chunk, encoded in place without a shuffle. Segmentations of whole words between cuts are memoised.
+documents, are spread over the cluster, and only matrices of a document meet in one task (a few hundred bytes
+where a chunk has a cut). Other documents are one chunk, encoded in place without a shuffle: the distinct words
+of some MB of texts are cut into stretches between cuts, which are scanned side by side in arrays, each once.
+What a worker keeps from one slice of texts to the next is bounded in bytes.
 
 Edge cases: null texts give null ids; the empty text gives no ids. Characters outside the vocabulary become
 byte pieces (or the unknown piece if the model has none). Repeated rows are encoded one by one. A text that
@@ -36,12 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import shuffle_partitions, written
+from ._arrays import SPREAD, Table
+from ._common import fresh, shuffle_partitions, slices, written
 
 BLANK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32768
-_MEMO = 60_000
+_MEMO_BYTES = 24 << 20  # of the words whose ids a worker keeps from one slice of texts to the next
+_ENTRY = 170  # bytes of one such entry beside its contents
+_SLICE = 2 << 20  # bytes of text encoded at a time
+_PAIRS, _PAIR_BITS = 60_000, 20  # pairs of pieces whose compatibility is kept
+_SHORT, _LANES = 48, 16384  # characters of stretches that are scanned side by side, and how many at a time
 _RUN = re.compile(r"[^\W\d_]+|.", re.S)
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 
@@ -99,23 +106,140 @@ class Model:
         return parts
 
 
-class Memo:
-    """Two generations of a bounded cache: what is used again moves to the new one."""
+class Lanes:
+    """The scan over many short stretches side by side, for BPE models.
 
-    def __init__(self) -> None:
-        self.new: dict = {}
-        self.old: dict = {}
+    Stretches advance one position at a time: at each, all walk down the trie of pieces together, and a piece
+    that is compatible with the one ending there becomes the last piece where it ends.
+    """
 
-    def again(self, key):
-        """The value of a key that is not in the new generation, or None."""
-        found = self.old.get(key)
-        return None if found is None else self.put(key, found)
+    def __init__(self, scanner: Scanner) -> None:
+        model, weights = scanner.model, scanner.model.weights
+        names = list(model.vocab)
+        letters = {c for v in names for c in v} - set(names)
+        self.own = {v: i for i, v in enumerate([*names, *sorted(letters)])}
+        self.unknown = len(self.own)
+        self.known = len(names)
+        self.ids = np.array([model.vocab[v] for v in names], np.int32)
+        self.length = np.array([*map(len, self.own), 1], np.int64)
+        self.longest = int(self.length.max())
+        self.spell = lambda c: scanner.ids([c])
+        nodes: dict[str, int] = {"": 0}
+        steps: dict[int, int] = {}
+        pieces = {0: -1}
+        for v in sorted(scanner.edges | letters):
+            for k in range(1, len(v) + 1):
+                if v[:k] not in nodes:
+                    nodes[v[:k]] = len(nodes)
+                    steps[nodes[v[: k - 1]] << 32 | ord(v[k - 1])] = nodes[v[:k]]
+            pieces[nodes[v]] = self.own[v]
+        self.steps = Table.of(steps)
+        self.piece = np.array([pieces.get(i, -1) for i in range(len(nodes))], np.int32)
+        order = {w: 2 * i for i, w in enumerate(sorted(set(weights.values())))}
+        never = 2 * len(order) + 9
+        self.rank = np.full(len(self.own) + 1, never, np.int64)  # of the merge that makes a piece
+        self.left, self.right = (np.zeros(len(self.own) + 1, np.int64) for _ in range(2))
+        for v, (x, y) in scanner.halves.items():
+            i = self.own[v]
+            self.rank[i], self.left[i], self.right[i] = order[weights[v]], self.own[x], self.own[y]
+        self.never = never
+        own = self.own
+        self.crossing = Table.of(
+            {own[v[:k]] << 32 | own[v[k:]]: order[weights[v]] for v in names for k in range(1, len(v)) if v[:k] in own and v[k:] in own}
+        )
+        self.asked = np.full(1 << _PAIR_BITS, 2**64 - 1, np.uint64)  # the last pair of each slot, and its answer
+        self.answer = np.zeros(1 << _PAIR_BITS, bool)
+
+    def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the pieces stay apart when their joint text is merged; recent answers are kept by slot."""
+        pair = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+        slot = (pair * SPREAD) >> np.uint64(64 - _PAIR_BITS)
+        out = self.answer[slot]
+        new = np.flatnonzero(self.asked[slot] != pair)
+        if len(new):
+            out[new] = self.apart(a[new], b[new])
+            self.asked[slot[new]] = pair[new]
+            self.answer[slot[new]] = out[new]
+        return out
 
-    def put(self, key, value):
-        if len(self.new) >= _MEMO:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
-        return value
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As the scanner's method of this name, for arrays of pieces; weights are even ranks here."""
+        ok, live = np.ones(len(a), bool), np.arange(len(a))
+        a, b, until = a.astype(np.int64), b.astype(np.int64), np.full(len(a), -1, np.int64)
+        while len(live):
+            met = self.crossing.get((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)) > until
+            ok[live[met]] = False
+            left, right = self.rank[a], self.rank[b]
+            go = ~met & (np.minimum(left, right) < self.never)
+            live, a, b, left, right = live[go], a[go], b[go], left[go], right[go]
+            first = left < right
+            until = np.where(first, left, right - 1)
+            a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
+        return ok
+
+    def segment(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the stretches that begin at ``begin`` in ``codes``, longest first, and their bounds in the ids."""
+        n = len(size)
+        reach = np.searchsorted(-size, -np.arange(size[0] + 2), side="left")  # how many are longer than a position
+        last = np.full((size[0] + 1, n), self.unknown, np.int32)
+        for p in range(size[0]):
+            state, lane = np.zeros(reach[p], np.uint64), np.arange(reach[p])
+            before = last[p]
+            for k in range(min(self.longest, size[0] - p)):
+                if lane[-1] >= reach[p + k]:
+                    some = np.searchsorted(lane, reach[p + k])
+                    lane, state = lane[:some], state[:some]
+                to = self.steps.get((state << np.uint64(32)) | codes[begin[lane] + (p + k)])
+                on = to >= 0
+                lane, to = lane[on], to[on]
+                if not len(lane):
+                    break
+                piece = self.piece[to]
+                ends = np.flatnonzero(piece >= 0)
+                if len(ends):
+                    into, own = lane[ends], piece[ends]
+                    if p:
+                        ok = self.follows(before[into], own)
+                        into, own = into[ok], own[ok]
+                    last[p + k + 1, into] = own
+                state = to.astype(np.uint64)
+        at, lane, found = size.copy(), np.arange(n), []
+        while len(lane):
+            piece = last[at[lane], lane]
+            at[lane] -= self.length[piece]
+            found.append((lane * size[0] + at[lane], piece))
+            lane = lane[at[lane] > 0]
+        place = np.concatenate([f[0] for f in found])
+        order = np.argsort(place)
+        place, piece = place[order], np.concatenate([f[1] for f in found])[order]
+        return self._ids(piece, codes[begin[place // size[0]] + place % size[0]], np.searchsorted(place, np.arange(n + 1) * size[0]))
+
+    def _ids(self, piece: np.ndarray, code: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, those outside the vocabulary being spelt by ``code``, and the moved bounds."""
+        outside = np.flatnonzero(piece >= self.known)
+        if not len(outside):
+            return self.ids[piece], bounds
+        spelt = {int(c): self.spell(chr(c)) for c in np.unique(code[outside])}
+        width = np.ones(len(piece), np.int64)
+        width[outside] = [len(spelt[c]) for c in code[outside].tolist()]
+        start = np.concatenate([[0], np.cumsum(width)])
+        out = np.empty(start[-1], np.int32)
+        out[start[:-1]] = self.ids[np.minimum(piece, self.known - 1)]
+        for c, ids in spelt.items():
+            places = start[outside[code[outside] == c]]
+            for k, i in enumerate(ids):
+                out[places + k] = i
+        return out, start[bounds]
+
+    def segment_all(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """Stretches end to end: an order of them, and the packed ids of each in that order."""
+        order, begin, out = np.argsort(-size, kind="stable"), np.cumsum(size) - size, []
+        for k in range(0, len(order), _LANES):
+            some = order[k : k + _LANES]
+            ids, bounds = self.segment(codes, begin[some], size[some])
+            packed, at = ids.tobytes(), (4 * bounds).tolist()
+            out += [packed[i:j] for i, j in zip(at, at[1:], strict=False)]
+        return order, out
 
 
 class Scanner:
@@ -124,9 +248,9 @@ class Scanner:
     def __init__(self, model: Model) -> None:
         self.model = model
         self.compatible: dict[tuple[str, str], bool] = {}
-        self.words, self.parts = Memo(), Memo()
-        self.last: dict[str, str] = {}  # by the beginning of a stretch between cuts
-        edges = model.vocab
+        self.words: dict[bytes, bytes] = {}  # ids of words, as many as fit in _MEMO_BYTES
+        self.held = 0
+        edges = set(model.vocab)
         self.halves: dict[str, tuple[str, str]] = {}
         if model.bpe:
             edges = set()
@@ -139,13 +263,14 @@ class Scanner:
         self.edges = edges
         least = min(model.weights.values(), default=0.0)
         self.weight = (lambda t: 0.0) if model.bpe else (lambda t: model.weights.get(t, least - 10))
+        self.lanes = Lanes(self) if model.bpe else None
 
     def follows(self, a: str, b: str) -> bool:
         """Whether ``a`` and ``b`` stay apart when their joint text is merged."""
         key = (a, b)
         found = self.compatible.get(key)
         if found is None:
-            if len(self.compatible) > 5 * _MEMO:
+            if len(self.compatible) > _PAIRS:
                 self.compatible.clear()
             # Pieces of blank signs alone share one score, so only merging itself tells their order.
             blanks = a[-1] == BLANK and b[0] == BLANK
@@ -195,30 +320,25 @@ class Scanner:
         return out[::-1]
 
     def _chain(self, s: str) -> list[str]:
-        """The chain of compatible pieces over ``s``; the last piece of every beginning is memoised."""
-        n, longest, edges, known, last = len(s), self.model.longest, self.edges, self.compatible.get, self.last
-        if len(last) > 3 * _MEMO:
-            last.clear()
-        done = n
-        while done and s[:done] not in last:
-            done -= 1
-        for end in range(done + 1, n + 1):
+        """The chain of compatible pieces over ``s``: the last piece of every beginning, by position."""
+        n, longest, edges, known = len(s), self.model.longest, self.edges, self.compatible.get
+        last = [""] * (n + 1)
+        for end in range(1, n + 1):
             for start in range(end - longest if end > longest else 0, end):
                 piece = s[start:end]
                 if piece in edges or start == end - 1:
                     ok = True
                     if start:
-                        before = last[s[:start]]
-                        ok = known((before, piece))
+                        ok = known((last[start], piece))
                         if ok is None:
-                            ok = self.follows(before, piece)
+                            ok = self.follows(last[start], piece)
                     if ok:
-                        last[s[:end]] = piece
+                        last[end] = piece
                         break
         out, at = [], n
         while at:
-            out.append(last[s[:at]])
-            at -= len(out[-1])
+            out.append(last[at])
+            at -= len(last[at])
         return out[::-1]
 
     def ids(self, pieces: list[str]) -> list[int]:
@@ -233,36 +353,75 @@ class Scanner:
                 out.append(model.unknown)
         return out
 
-    def part(self, s: str) -> bytes:
-        """Packed ids of ``s``, entered and left at cuts; memoised between cuts next to signs and line breaks."""
-        out, at, beside, memo = [], 0, self.model.beside, self.parts
+    def stretches(self, s: str) -> list[str]:
+        """``s``, entered and left at cuts, in parts between cuts next to signs; long parts at all cuts."""
+        out, at, beside = [], 0, self.model.beside
         for m in _RUN.finditer(s):
             i = m.end()
             if i == len(s) or s[i - 1 : i + 1] not in beside:
                 own, at = s[at:i], i
-                found = memo.new.get(own) or memo.again(own)
-                out.append(found or memo.put(own, self.packed(own)))
-        return b"".join(out)
+                if len(own) <= _SHORT:
+                    out.append(own)
+                else:
+                    lo = 0
+                    for k in range(1, len(own) + 1):
+                        if k == len(own) or own[k - 1 : k + 1] not in beside:
+                            out.append(own[lo:k])
+                            lo = k
+        return out
+
+    def scanned(self, stretches: list[str]) -> dict[str, bytes]:
+        """Packed ids of distinct stretches; short ones of BPE models are scanned side by side."""
+        short = [s for s in stretches if len(s) <= _SHORT and BLANK + BLANK not in s] if self.lanes else []
+        out = {}
+        if short:
+            codes = np.frombuffer("".join(short).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            order, ids = self.lanes.segment_all(codes, np.fromiter(map(len, short), np.int64, len(short)))
+            out = dict(zip(map(short.__getitem__, order.tolist()), ids, strict=True))
+        return out | {s: self.packed(s) for s in stretches if s not in out}
+
+    def part(self, s: str) -> bytes:
+        """Packed ids of ``s``, entered and left at cuts."""
+        parts = self.stretches(s)
+        made = self.scanned([*set(parts)])
+        return b"".join([made[p] for p in parts])
 
     def packed(self, s: str) -> bytes:
         return array("i", self.ids(self.segment(s))).tobytes()
 
-    def word(self, word: bytes) -> bytes:
-        found = self.words.again(word)
-        if found is None:
-            text = word.decode()
-            found = self.words.put(word, self.packed(BLANK + text) if text.isalpha() else self.part(BLANK + text))
-        return found
-
     def encode(self, text: bytes) -> bytes:
         """Ids of a whole text, as packed 32-bit integers."""
-        if not text:
-            return b""
-        odd = text[:1] == b" " or text[-1:] == b" " or b"  " in text or BLANK.encode() in text
-        if odd or not (self.model.prefix and self.model.words_apart):
-            return self.part(self.normal(text.decode()))
-        get, word = self.words.new.get, self.word
-        return b"".join([get(w) or word(w) for w in text.split(b" ")])
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes | None]:
+        """Packed ids of each text; every distinct word between blanks is segmented once."""
+        blank, words, whole = BLANK.encode(), set(), {}
+        by_word = self.model.prefix and self.model.words_apart
+        for k, text in enumerate(texts):
+            if text:
+                if not by_word or text[:1] == b" " or text[-1:] == b" " or b"  " in text or blank in text:
+                    whole[k] = self.part(self.normal(text.decode()))
+                else:
+                    words.update(text.split(b" "))
+        if self.held > _MEMO_BYTES:
+            self.words = {w: self.words[w] for w in words if w in self.words}
+            self.held = sum(len(w) + len(ids) + _ENTRY for w, ids in self.words.items())
+        known = self.words
+        new = [*words.difference(known)]
+        short = [w for w in new if len(w) < _SHORT] if self.lanes else []
+        if short:  # no word holds the blank sign, so it marks where they begin
+            codes = np.frombuffer((blank + blank.join(short)).decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+            order, ids = self.lanes.segment_all(codes, np.diff(np.append(np.flatnonzero(codes == ord(BLANK)), len(codes))))
+            known.update(zip(map(short.__getitem__, order.tolist()), ids, strict=True))
+        for w in new:
+            if w not in known:
+                known[w] = self.part(BLANK + w.decode())
+        self.held += sum(map(len, new)) + sum(map(len, map(known.__getitem__, new))) + _ENTRY * len(new)
+        get = known.__getitem__
+        return [
+            text if not text else whole[k] if k in whole else b"".join(map(get, text.split(b" ")))
+            for k, text in enumerate(texts)
+        ]
 
     def normal(self, text: str) -> str:
         return (BLANK if self.model.prefix and text else "") + text.replace(" ", BLANK)
@@ -453,10 +612,8 @@ def encode(
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(shared)
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                rows = batch.slice(k, 1000)
-                texts = rows.column(at).cast(pa.large_binary())
-                packed = [scanner.encode(t.as_py()) if t.is_valid else None for t in texts]
+            for rows in slices(batch, at, _SLICE):
+                packed = scanner.encode_all(rows.column(at).cast(pa.large_binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([*rows.columns, _lists(packed)], names=schema.names)
 
     small = docs.where(~giant).mapInArrow(whole, schema)
@@ -465,7 +622,8 @@ def encode(
 
 
 def _encode_giants(docs: DataFrame, text_col: str, out: str, shared: _Shared, chunk: int) -> DataFrame:
-    docs = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    own = fresh(docs, "row")
+    docs = written(docs.withColumn(own, F.monotonically_increasing_id()))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(shared)
@@ -485,7 +643,7 @@ def _encode_giants(docs: DataFrame, text_col: str, out: str, shared: _Shared, ch
                         }
                     )
 
-    chunks = docs.select("_row", text_col).mapInArrow(split, "row bigint, k int, s string, a int, b int")
+    chunks = docs.select(own, text_col).mapInArrow(split, "row bigint, k int, s string, a int, b int")
     chunks = written(chunks.repartition(shuffle_partitions(docs), "row", "k"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -516,8 +674,8 @@ def _encode_giants(docs: DataFrame, text_col: str, out: str, shared: _Shared, ch
     states = made.groupBy("row").applyInArrow(scan, "row bigint, k int, states binary")
     traced = chunks.join(states, ["row", "k"]).mapInArrow(trace, "row bigint, k int, ids array<int>")
     ids = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    ids = ids.select("row", F.flatten(F.col("parts.ids")).alias(out))
-    return docs.join(ids, F.col("_row") == F.col("row")).drop("_row", "row")
+    ids = ids.select(F.col("row").alias(own), F.flatten(F.col("parts.ids")).alias(out))
+    return docs.join(ids, own).drop(own)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", model: str | bytes = MODEL) -> DataFrame:
