@@ -1,7 +1,7 @@
 """License scan by template-markup matching.
 
 A template is license wording with two kinds of markup: ``<<beginOptional>> ... <<endOptional>>`` around
-words that may be left out, and ``<<var;max=N>>`` for up to N words of any kind. Templates are compiled into
+words that may be left out (regions may nest), and ``<<var;max=N>>`` for up to N words of any kind. Templates are compiled into
 word automata. A text carries a template's label if the automaton accepts some run of its words, that is,
 if all mandatory words stand there exactly and in order. Beside the templates, fixed phrases are counted
 and label a text as well.
@@ -97,22 +97,25 @@ _MARK = re.compile(r"<<(.*?)>>")
 
 
 def parse(template: str) -> list[tuple]:
-    """The template as items: ("word", w), ("var", max) and ("opt", items). Optional parts do not nest."""
+    """The template as items: ("word", w), ("var", max) and ("opt", items), whose items may hold further ones."""
     out: list[tuple] = []
-    into = out
+    open_: list[list[tuple]] = [out]
     for i, piece in enumerate(_MARK.split(template)):
         if i % 2 == 0:
-            into += [("word", w) for w in alnum_words(piece.encode())]
+            open_[-1] += [("word", w) for w in alnum_words(piece.encode())]
         elif piece == "beginOptional":
-            into = []
+            open_.append([])
         elif piece == "endOptional":
-            if into:
-                out.append(("opt", into))
-            into = out
+            if len(open_) == 1:
+                raise ValueError("an optional region ends that has not begun")
+            if inner := open_.pop():
+                open_[-1].append(("opt", inner))
         elif m := re.fullmatch(r"var;max=(\d+)", piece):
-            into.append(("var", int(m[1])))
+            open_[-1].append(("var", int(m[1])))
         elif piece != "head":
             raise ValueError(f"unknown markup <<{piece}>>")
+    if len(open_) > 1:
+        raise ValueError("an optional region does not end")
     if not out or out[0][0] != "word":
         raise ValueError("a template begins with a mandatory word")
     return out
