@@ -12,9 +12,11 @@ sorted, no blanks, integral numbers without a fraction, no NaN).
 
 Order: a node's ``order_turn`` is the largest turn among itself and all it depends on, its ``level`` the
 longest chain of dependencies before it. Sorting a conversation by (order_turn, level, turn, call_id) puts
-every node after what it depends on and otherwise keeps the given order. Levels are found in rounds over the
-dependency edges, one round per level, each over keys (conversation, identifier), so neither a long
-conversation nor a hot one meets in one task.
+every node after what it depends on and otherwise keeps the given order. The calls of a conversation with up to
+``MOST_EDGES`` dependencies, which are counted first, are ordered in one task. Longer ones are ordered in rounds
+over the dependency edges, one round per level, each over keys (conversation, identifier), so that neither a long
+conversation nor a hot one meets in one task; a round writes the calls of its level and looks at those only that
+wait for them. Both give the same.
 
 Edge cases: a null text is the empty string; text that looks like JSON and is not is a plain message.
 Several calls with one identifier: the one of the smallest (turn, JSON) is linked, the others have the status
@@ -27,6 +29,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -176,30 +179,77 @@ def nodes(messages: DataFrame, schemas: dict | None = None, callers=("user",), a
 _KEY = ["conv_id", "call_id"]
 
 
-def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """conv_id, call_id, order_turn, level of the calls that are on no cycle.
+#: Most dependencies of a conversation that one task orders.
+MOST_EDGES = 100_000
+
+
+def _ordered(rows: pa.Table) -> pa.Table:
+    """call_id, order_turn, level of one conversation's calls that depend on others and are on or behind no cycle."""
+    columns = [rows.column(c).to_pylist() for c in ("needs", "needs_turn", "call_id", "turn")]
+    waits, after, own, place = {}, {}, {}, {}
+    for needs, needs_turn, call, turn in zip(*columns, strict=True):
+        waits[call] = waits.get(call, 0) + 1
+        after.setdefault(needs, []).append(call)
+        own[call], place[needs] = turn, (needs_turn, 0)
+    place = {c: p for c, p in place.items() if c not in waits}
+    ready, out = list(place), []
+    for call in ready:  # grows on the way
+        turn, level = place[call]
+        for nxt in after.get(call, ()):
+            before = place.get(nxt, (own[nxt], 0))
+            later = [t for t in (before[0], turn) if t is not None]
+            place[nxt] = (max(later, default=None), max(before[1], level + 1))
+            waits[nxt] -= 1
+            if not waits[nxt]:
+                ready.append(nxt)
+                out.append(nxt)
+    conv = rows.column("conv_id")
+    return pa.table(
+        {
+            "conv_id": pa.array([conv[0].as_py()] * len(out), conv.type),
+            "call_id": pa.array(out, pa.string()),
+            "order_turn": pa.array([place[c][0] for c in out], pa.int64()),
+            "level": pa.array([place[c][1] for c in out], pa.int32()),
+        }
+    )
+
+
+def levels(calls: DataFrame, edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
+    """conv_id, call_id, order_turn, level of the calls that are on or behind no cycle.
 
     ``calls``: conv_id, call_id, turn, one row per key. ``edges``: conv_id, needs, call_id; both ends exist.
     """
     edges = written(edges)
-    degree = edges.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("degree"))
-    done = calls.join(degree, _KEY, "left_anti")
-    done = written(done.select(*_KEY, F.col("turn").alias("order_turn"), F.lit(0).alias("level")))
-    while edges.count():
-        known = done.select("conv_id", F.col("call_id").alias("needs"), "order_turn", "level")
-        ready = (
-            edges.join(known, ["conv_id", "needs"])
-            .groupBy(*_KEY)
-            .agg(F.count(F.lit(1)).alias("n"), F.max("order_turn").alias("after"), (F.max("level") + 1).alias("level"))
-            .join(degree, _KEY)
-            .where("n = degree")
-        )
-        fresh = ready.join(calls, _KEY).select(*_KEY, F.greatest("turn", "after").alias("order_turn"), "level")
-        fresh = written(fresh.join(done, _KEY, "left_anti"))
-        if not fresh.take(1):
-            break
-        done = written(done.unionByName(fresh))
-    return done
+    first = calls.join(edges.select(*_KEY).distinct(), _KEY, "left_anti")
+    first = written(first.select(*_KEY, F.col("turn").alias("order_turn"), F.lit(0).alias("level")))
+    sizes = written(edges.groupBy("conv_id").agg(F.count(F.lit(1)).alias("m")))
+    if not sizes.take(1):
+        return first
+    few = edges.join(sizes.where(F.col("m") <= most).select("conv_id"), "conv_id", "left_semi")
+    few = few.join(calls, _KEY).join(calls.select("conv_id", F.col("call_id").alias("needs"), F.col("turn").alias("needs_turn")), ["conv_id", "needs"])
+    kind = calls.schema["conv_id"].dataType.simpleString()
+    done = [first, few.groupBy("conv_id").applyInArrow(_ordered, f"conv_id {kind}, call_id string, order_turn bigint, level int")]
+    long = sizes.where(F.col("m") > most).select("conv_id")
+    if long.take(1):
+        edges = written(edges.join(long, "conv_id", "left_semi"))
+        known = [first.join(long, "conv_id", "left_semi")]
+        while True:
+            waiting = edges.join(known[-1].select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi")
+            asked = edges.join(waiting.select(*_KEY).distinct(), _KEY, "left_semi")
+            placed = reduce(DataFrame.unionByName, known).withColumnRenamed("call_id", "needs")
+            ready = (
+                asked.join(placed, ["conv_id", "needs"], "left")
+                .groupBy(*_KEY)
+                .agg(F.count("level").alias("n"), F.count(F.lit(1)).alias("all"), F.max("order_turn").alias("after"), (F.max("level") + 1).alias("level"))
+                .where("n = all")
+            )
+            fresh = ready.join(calls, _KEY).select(*_KEY, F.greatest("turn", "after").alias("order_turn"), "level")
+            fresh = written(fresh)
+            if not fresh.take(1):
+                break
+            known.append(fresh)
+        done += known[1:]
+    return reduce(DataFrame.unionByName, done)
 
 
 def format_chat(messages: DataFrame, schemas: dict | None = None, **roles) -> DataFrame:
@@ -212,11 +262,12 @@ def format_chat(messages: DataFrame, schemas: dict | None = None, **roles) -> Da
     least = F.min(F.struct("turn", "json"))
     heads = calls.groupBy(*_KEY).agg(least.alias("head"))
     answers = results.groupBy(*_KEY).agg(F.min("turn").alias("answer_turn"))
-    heads = written(heads.join(answers, _KEY, "left").select(*_KEY, F.col("head.turn").alias("turn"), "head", "answer_turn"))
+    heads = written(heads.join(answers.hint("shuffle_hash"), _KEY, "left").select(*_KEY, F.col("head.turn").alias("turn"), "head", "answer_turn"))
     given = calls.where(F.size("depends_on") > 0).select("conv_id", F.explode("depends_on").alias("needs"), "call_id")
     known = heads.select("conv_id", F.col("call_id").alias("needs"))
     placed = levels(heads.select(*_KEY, "turn"), given.distinct().join(known, ["conv_id", "needs"], "left_semi"))
-    linked = rows.join(heads.withColumnRenamed("turn", "call_turn").join(placed, _KEY, "left"), _KEY, "left")
+    known_calls = heads.withColumnRenamed("turn", "call_turn").join(placed, _KEY, "left")
+    linked = rows.join(known_calls.hint("shuffle_hash"), _KEY, "left")
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     known_call = F.col("head").isNotNull()
     status = (
