@@ -6,7 +6,8 @@ before it) in a context (the bytes before it) counts zeros and ones over the tra
 from 0 to ``depth`` bytes the Krichevsky-Trofimov estimate of the node is mixed with the node one byte deeper,
 with the weights that context-tree weighting gives after all training data: the estimate's own block
 probability against the product of its children's weighted ones. The score is the log10 probability of the
-text under the trained mixture, its code length being ``-score / log10(2)`` bits.
+text under the trained mixture, its code length being ``-score / log10(2)`` bits; ``bits_per_byte`` is that over the
+bytes that are coded.
 
 A unigram model over the same tokens (words, then one end) gives a base score beside it.
 
@@ -280,7 +281,7 @@ def _answer(rows: pa.Table, logs: pa.Table) -> pa.Table:
 
 def _add(depth: int):
     def scores(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {c: [] for c in ("doc", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
+        rows: dict[str, list] = {c: [] for c in ("doc", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")}
         if docs.num_rows:
             b = Block(docs, lower=True)
             answers = answers.sort_by("bucket")
@@ -302,24 +303,26 @@ def _add(depth: int):
             grams = np.unique(np.concatenate([p[2] for p in parts]))
             log = np.empty(len(grams))
             log[np.argsort(grams * np.uint64(_SPREAD))] = joined(unpack(answers.column("log"), np.float32), np.float32)
-            score = np.empty(len(tokens))
+            score, coded = np.empty(len(tokens)), np.empty(len(tokens))
             for first, last, own, rank, bounds in parts:
                 value = log[np.searchsorted(grams, own)]
                 score[first:last] = np.add.reduceat(value[rank], bounds[:-1])
+                coded[first:last] = np.diff(bounds)
             rows = {
                 "doc": b.raw_ids, "held_out": [is_held_out(i) for i in b.raw_ids], "n_tokens": tokens, "n_known": known,
                 "train_tokens": np.full(len(tokens), n), "base_score": base, "score": score,
+                "bits_per_byte": -score / math.log10(2) / coded,
             }
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         return pa.table({c: pa.array(a, k) for (c, a), k in zip(rows.items(), kinds, strict=True)})
 
     return scores
 
 
 def score(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = 6 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = 10 << 20
 ) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document.
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) and bits_per_byte of every document.
 
     ``depth``: context bytes, 2 to 5.
     """
@@ -346,6 +349,6 @@ def score(
     )
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _add(depth),
-        "doc bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+        "doc bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double",
     )
     return scored.withColumnRenamed("doc", id_col)
