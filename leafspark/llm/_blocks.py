@@ -1,11 +1,15 @@
 """Documents dealt into blocks, and packed messages between blocks and buckets of keys.
 
 Operators that compare every word position of the corpus would shuffle a row per position. Instead the
-documents are dealt once into blocks of a few MB by a hash of their id; a block packs what it has to say
+documents are dealt once into blocks of a few MB of text by a hash of their id; a block packs what it has to say
 about many keys into one binary message per bucket of keys, and a bucket answers with one message per
-block. Keys are unique within a message, so a key that is frequent everywhere costs one entry per block. There are fewer buckets than blocks, so that messages stay long;
-on a very large corpus raise the size of a block with the memory of a task, which makes messages fewer.
+block. Keys are unique within a message, so a key that is frequent everywhere costs one entry per block.
 The exchange of the documents is one node of the plan that Spark reuses for every visit to the blocks.
+
+There is a message for every pair of block and bucket, and a bucket for eight blocks. Beyond 8192 blocks (48 GB
+at 6 MB) blocks grow with the root of the corpus, and messages in proportion to it, up to blocks of eight times the
+size (3 TB). From there messages get shorter as the corpus grows: at 100 TB, in blocks of 48 MB, one holds some
+thirty entries, and what a row costs beside its entries is then a third of it. Rows of one id are in one block.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from ._common import n_blocks, shuffle_partitions
 _LEAST = np.iinfo(np.int64).min
 
 
-def deal(docs: DataFrame, id_col: str, text_col: str, target: int = 4 << 20) -> tuple[DataFrame, int]:
+def deal(docs: DataFrame, id_col: str, text_col: str, target: int = 6 << 20) -> tuple[DataFrame, int]:
     """(doc, text, block) of every document, and the number of blocks."""
     k = n_blocks(docs, text_col, target)
     doc = F.col(id_col).cast("long")

@@ -19,12 +19,16 @@ joined. Then, instead of all pairs within a posting list:
    chose in a first round, where they chose the representative they share most prefix shingles with.
    Documents are verified against their choices of both rounds, one or two pairs a document, which merges
    large groups of near copies into few classes.
-2. what is left are pairs in different classes. Two documents of one hub that link either share a shingle
-   outside the hub's set, or share no more than the smaller overlap of theirs with the hub, so they are
-   joined on their rare shingles outside the hub, and on the hub where the overlaps allow a link. Documents
-   of different hubs are joined on their prefixes, where a posting list holds more than one class. All pairs
-   found are counted, verified on the whole sets and merged. This is the exact rest: every pair that could
-   still change the result is looked at, and no posting list is paired with itself within a class.
+2. what is left are pairs in different classes. They are joined on their prefixes, where a posting list holds
+   more than one class. Two documents of one hub either share no more shingles than the smaller overlap of theirs
+   with the hub, and are only taken where that allows a link; or they share some outside the hub's set, at least
+   as many as the hub leaves them to find, and are joined on the prefixes that this number gives to their sets
+   outside the hub. All pairs found are verified on the whole sets and merged. This is the exact rest: every pair
+   that could still change the result is looked at, and no posting list is paired with itself within a class. A
+   list of more than ``_LIST`` documents is split over several tasks, by its measured length.
+
+Document counts travel as one byte, exact up to 64 and rounded down to steps of a twelfth beyond, up to 10^9, so the
+cost of a frequent shingle is known as that.
 
 Edge cases: null and empty texts (and texts without words) have the empty set, link with nothing and are
 their own class. Rows with one id are one node of the graph; each keeps its own n_shingles. Null ids are kept
@@ -45,7 +49,13 @@ from ._common import written
 
 SIZE, PERCENT, DEEPEST = 5, 75, 8
 _LOW = np.uint64(0xFFFFFFFF)
-_MOST = 255
+_LIST = 500
+#: What a byte says about a count.
+_COUNTS = np.unique(np.concatenate([np.arange(65), 64 * 2 ** (np.arange(1, 192) / 8)]).astype(np.int64))
+
+
+def _coded(counts: np.ndarray) -> np.ndarray:
+    return (np.searchsorted(_COUNTS, counts, side="right") - 1).astype(np.uint8)
 
 
 def shingles(b: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +111,7 @@ def _send(buckets: int):
         heads = _heads(*_digests(of, keys, len(b.ids)))
         own, n = np.unique(_packed(keys[heads[of]], buckets), return_counts=True)
         return message(
-            b.block, own >> np.uint64(32), prints=(own & _LOW).astype(np.uint32), n=np.minimum(n, _MOST).astype(np.uint8)
+            b.block, own >> np.uint64(32), prints=(own & _LOW).astype(np.uint32), n=_coded(n)
         )
 
     return count
@@ -112,11 +122,10 @@ def _packed(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _count(rows: pa.Table) -> pa.Table:
-    """For each shingle of a bucket: in how many sets it is, up to 255."""
+    """For each shingle of a bucket: in how many sets it is."""
     prints, counts = unpack(rows.column("prints"), np.uint32), unpack(rows.column("n"), np.uint8)
     _, where = np.unique(joined(prints, np.uint32), return_inverse=True)
-    total = np.bincount(where, joined(counts, np.uint8))
-    total = np.minimum(total, _MOST).astype(np.uint8)[where]
+    total = _coded(np.bincount(where, _COUNTS[joined(counts, np.uint8)]))[where]
     bounds = np.cumsum([0, *map(len, prints)])
     out = [total[i:j].tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
     return pa.table({"bucket": rows.column("bucket"), "block": rows.column("block"), "n": pa.array(out, pa.binary())})
@@ -171,7 +180,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = zip(*[batch.column(c).to_pylist() for c in ("doc", "n", "tokens", "counts")], strict=True)
         for doc, n, tokens, counts in rows:
             keys, df = np.frombuffer(tokens, np.int64), np.frombuffer(counts, np.uint8)
-            depth, least = _depth(df.astype(np.int64), n), n - need(n)
+            depth, least = _depth(_COUNTS[df], n), n - need(n)
             use = np.flatnonzero(df[: least + depth] > 1)
             level = np.maximum(use - least + 1, 1)
             central = int(1000 * df.mean())
@@ -185,21 +194,26 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, the sizes of both sets and of the overlap, and a's shingles outside b that somebody else has."""
+    """a, b, the sizes of both sets and of the overlap, and the prefix of a's shingles outside b.
+
+    A partner of a shares need(na) shingles, of which no more than the overlap lie in b.
+    """
     for batch in batches:
         sizes, outside = [], []
         for x, y, counts in zip(*[batch.column(c) for c in ("a_tokens", "b_tokens", "a_counts")], strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
             common = np.isin(x, y, assume_unique=True)
-            sizes.append((len(x), len(y), int(common.sum())))
-            outside.append(x[~common & (np.frombuffer(counts.as_buffer(), np.uint8) > 1)].tolist())
+            both = int(common.sum())
+            sizes.append((len(x), len(y), both))
+            rest = x[~common & (np.frombuffer(counts.as_buffer(), np.uint8) > 1)]
+            outside.append(rest[: max(0, len(rest) - max(1, need(len(x)) - both) + 1)].tolist())
         na, nb, both = (pa.array([s[i] for s in sizes], pa.int64()) for i in range(3))
         made = [batch.column("a"), batch.column("b"), na, nb, both, pa.array(outside, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(made, names=["a", "b", "na", "nb", "both", "outside"])
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the sizes of their sets (doc, tokens, counts) and of the overlap."""
+    """``pairs`` (a, b) with the sizes of their sets (doc, tokens, counts) and of the overlap, and a prefix outside b."""
     a = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("a_tokens"), F.col("counts").alias("a_counts"))
     b = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("b_tokens"))
     kinds = "a bigint, b bigint, na bigint, nb bigint, both bigint, outside array<bigint>"
@@ -245,7 +259,7 @@ def _relabel(classes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def link_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6 << 20
 ) -> DataFrame:
     """id, n_shingles and component_id of every document."""
     dealt, blocks = deal(docs, id_col, text_col, block_bytes)
@@ -275,13 +289,12 @@ def link_classes(
     asked = first.union(hubs).where("doc <> hub").distinct().select(F.col("doc").alias("a"), F.col("hub").alias("b"))
     facts = written(compare(asked, own))
     classes = _relabel(classes, facts.where(_LINKED))
-    own_hub = own.select("doc", "n").join(hubs.where("doc = hub"), "doc")
     near = facts.join(hubs, (F.col("a") == F.col("doc")) & (F.col("b") == F.col("hub")))
-    near = near.select("doc", F.col("na").alias("n"), "hub", F.col("both").alias("overlap"), F.col("nb").alias("hub_n"), "outside")
-    alone = own_hub.select("doc", "n", "hub", F.col("n").alias("overlap"), F.col("n").alias("hub_n"), F.array().cast("array<bigint>").alias("outside"))
+    near = near.select("doc", F.col("na").alias("n"), "hub", F.col("both").alias("overlap"), "outside")
+    alone = own.select("doc", "n").join(hubs.where("doc = hub"), "doc")
+    alone = alone.select("doc", "n", "hub", F.col("n").alias("overlap"), F.array().cast("array<bigint>").alias("outside"))
     members = written(near.union(alone).join(classes, "doc"))
-    pairs = _across_hubs(posted, members).union(_outside_hubs(members)).union(_within_hubs(members, classes))
-    pairs = written(pairs.distinct())
+    pairs = written(_pairs(posted, members).union(_outside_hubs(members)).distinct())
     if pairs.take(1):
         classes = _relabel(classes, compare(pairs, own).where(_LINKED))
     of_copy = copies.join(classes.withColumnRenamed("doc", "head"), "head", "left")
@@ -307,61 +320,39 @@ def _choice(posted: DataFrame, by_shared: bool) -> DataFrame:
     return met.groupBy("doc").agg(F.max(rank).alias("best")).select("doc", (-F.col("best.head.back")).alias("hub"))
 
 
-def _sizes_fit(a: str = "a_n", b: str = "b_n"):
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
-
+def _sides(rows: DataFrame, key: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of the groups of ``key`` that hold more than one class, twice, for a join with ``part`` on ``key``.
 
-def _sides(df: DataFrame, key: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``df`` twice, for a join on ``key``: the other columns with a_ and b_ before their names."""
-    a, b = (df.select(*key, *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in "ab")
+    Their other columns have a_ and b_ before their names. A long group is split: each row of one side is in a part of
+    its own, and each of the other in all of them.
+    """
+    groups = rows.groupBy(*key).agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("m"))
+    groups = written(groups.where("lo <> hi").select(*key, F.expr(f"(m + {_LIST - 1}) div {_LIST}").alias("parts")))
+    rows = written(rows.join(groups, key))
+    a, b = (rows.select(*key, "parts", *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in "ab")
+    a = a.withColumn("part", F.pmod(F.xxhash64("a_doc"), "parts")).drop("parts")
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     return a, b
 
 
-def _mixed(df: DataFrame, key: list[str]) -> DataFrame:
-    """The rows of the groups that hold more than one class."""
-    spread = df.groupBy(*key).agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-    return df.join(spread.where("lo <> hi").select(*key), key, "left_semi")
+#: Different classes, and sizes that allow a link.
+_APART = f"a_doc < b_doc and a_class <> b_class and 100 * least(a_n, b_n) >= {PERCENT} * greatest(a_n, b_n)"
 
 
-def _across_hubs(posted: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of different hubs and classes that share enough of their prefixes."""
-    live = written(posted.join(members.select("doc", "hub", "class"), "doc"))
-    a, b = _sides(written(_mixed(live, ["token"])), ["token"], ["doc", "n", "level", "depth", "hub", "class"])
+def _pairs(posted: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs that share enough of their prefixes, and if they have one hub, may share enough of it."""
+    rows = posted.select("token", "level", "doc", "depth").join(members.drop("outside"), "doc")
+    a, b = _sides(written(rows), ["token"], ["level", "doc", "n", "depth", "hub", "overlap", "class"])
     ask = F.least("a_depth", "b_depth")
-    met = a.join(b, "token").where(
-        (F.col("a_doc") < F.col("b_doc"))
-        & (F.col("a_class") != F.col("b_class"))
-        & (F.col("a_hub") != F.col("b_hub"))
-        & _sizes_fit()
-        & (F.greatest("a_level", "b_level") <= ask)
-    )
+    inside = f"a_hub <> b_hub or {100 + PERCENT} * least(a_overlap, b_overlap) >= {PERCENT} * (a_n + b_n)"
+    met = a.join(b, ["token", "part"]).where(F.expr(_APART) & F.expr(inside) & (F.greatest("a_level", "b_level") <= ask))
     met = met.groupBy("a_doc", "b_doc").agg(F.count(F.lit(1)).alias("shared"), F.min(ask).alias("ask"))
     return met.where("shared >= ask").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
 
 
 def _outside_hubs(members: DataFrame) -> DataFrame:
-    """Pairs of one hub and different classes that share a shingle which the hub does not have."""
+    """Pairs of one hub that share a shingle of their prefixes outside the hub."""
     rows = members.select("hub", "doc", "n", "class", F.explode("outside").alias("token"))
-    a, b = _sides(written(_mixed(rows, ["hub", "token"])), ["hub", "token"], ["doc", "n", "class"])
-    met = a.join(b, ["hub", "token"]).where(
-        (F.col("a_doc") < F.col("b_doc")) & (F.col("a_class") != F.col("b_class")) & _sizes_fit()
-    )
+    a, b = _sides(written(rows), ["hub", "token"], ["doc", "n", "class"])
+    met = a.join(b, ["hub", "token", "part"]).where(_APART)
     return met.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
-
-
-def _within_hubs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of one hub and different classes whose overlaps with the hub allow a link.
-
-    One of the two is not in the hub's class, and then the other has to be smaller than the hub.
-    """
-    of_hub = classes.select(F.col("doc").alias("hub"), F.col("class").alias("hub_class"))
-    rows = members.drop("outside").join(of_hub, "hub")
-    a, b = _sides(rows, ["hub"], ["doc", "n", "overlap", "class"])
-    a = a.join(of_hub, "hub").where("a_class <> hub_class")
-    b = b.join(members.select("hub", "hub_n").distinct(), "hub").where("b_n < hub_n")
-    met = a.join(b, "hub").where(
-        (F.col("a_class") != F.col("b_class"))
-        & _sizes_fit()
-        & ((100 + PERCENT) * F.least("a_overlap", "b_overlap") >= PERCENT * (F.col("a_n") + F.col("b_n")))
-    )
-    return met.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"))

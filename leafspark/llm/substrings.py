@@ -166,7 +166,7 @@ def _cut(docs: pa.Table, places: pa.Table) -> pa.Table:
 
 
 def dedup_substrings(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6 << 20
 ) -> DataFrame:
     """id, n_words, n_removed and the kept words, joined by one blank, of every document."""
     dealt, blocks = deal(docs, id_col, text_col, block_bytes)
