@@ -8,19 +8,23 @@ With ``long_words``, a run of fewer than ``run`` lines is repeated too if it has
 repeated passage of more than ``long_words`` words in whole lines is deleted however few lines it fills. The
 query's SQL knows runs of ``run`` lines only, so this is off unless asked for; the pipeline asks for it.
 
-Method: in every window of ``run`` lines (and of fewer lines, if long enough) the line of the smallest hash is selected, so any shared run has a
-selected line at the same place in both copies (the winnowing guarantee). Selected lines (fingerprints) are
-counted by hash with map-side combining; those found once in the corpus cannot be in a shared run and end
-there. Around the others the match is extended both ways: every window that selects that line is keyed by the hash of its whole content, the earliest place of each key is found by a map-side
-minimum, and windows at later places go back to their documents. Overlapping windows add up to the maximal
-repeated runs, whatever copy they came from.
-
-Skew: a common line or passage is one key; counts and minima are pre-aggregated, and the joins back are
-sort-merge joins with the aggregate, whose hot keys adaptive execution splits. No group is gathered.
+Method: in every window of ``run`` lines (and of fewer lines, if long enough) the line of the smallest hash is
+selected, so any shared run has a selected line at the same place in both copies (the winnowing guarantee). Only
+selected positions are emitted, one row each: hash, document, line, and the hashes of the windows that select it,
+which lie up to ``run - 1`` lines to either side. Positions are counted by hash with map-side combining; a hash found
+at one place of the corpus cannot be in a shared run, and its position ends there. Positions of the others are
+joined, and only around them the match is extended both ways: their windows are unpacked, the earliest place of
+each content is found by a map-side minimum, and windows at later places go back to their documents. Overlapping
+windows add up to the maximal repeated runs, whatever copy they came from.
+
+Skew: a common line or passage is one key. Counts and minima are combined on the map side and written. In both
+joins back, keys with more than their share of the rows (a fixed number of them, by the counts) are broadcast, and
+only the rest is shuffled by key. No group is gathered.
 
 Edge cases: null texts stay null and are never touched; empty texts stay. Repeated rows with one id are
 ordered by a hash of the text; identical rows of one id count as the same document, so both stay or lose
-the same lines. Without ``long_words``, documents shorter than ``run`` lines lose nothing. Lines are compared by 128-bit hashes.
+the same lines. Without ``long_words``, documents shorter than ``run`` lines lose nothing. Lines are compared by
+128-bit hashes. Input columns may have any names but n_lines and n_deleted, which are replaced.
 """
 
 from __future__ import annotations
@@ -30,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import fresh, join_split, written
 
 RUN = 3
 LONG_WORDS = 50
@@ -63,31 +67,29 @@ def windows(text: bytes, run: int, long_words: int | None = None) -> Iterator[tu
                 yield k, size, marks.index(mark, k), mark, xxhash.xxh3_128_digest(b"".join(full[k : k + size]))
 
 
+def positions(text: bytes, run: int, long_words: int | None = None) -> dict[int, tuple[int, list[dict]]]:
+    """By selected line: its hash and the windows that select it (start, size, key of the content)."""
+    out: dict[int, tuple[int, list[dict]]] = {}
+    for start, size, line, mark, key in windows(text, run, long_words):
+        out.setdefault(line, (mark, []))[1].append({"start": start, "size": size, "key": key})
+    return out
+
+
+_AROUND = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("key", pa.binary())]))
+
+
 def _fingerprints(run: int, long_words: int | None):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts, sizes, lines, marks, keys = [], [], [], [], [], []
-            for i, text in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), strict=True):
-                if text.is_valid:
-                    doc = i.as_py()
-                    for start, size, line, mark, key in windows(text.as_py(), run, long_words):
-                        ids.append(doc)
-                        starts.append(start)
-                        sizes.append(size)
-                        lines.append(line)
-                        marks.append(mark)
-                        keys.append(key)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, batch.column(0).type),
-                    pa.array(np.array(starts, "int32")),
-                    pa.array(np.array(sizes, "int32")),
-                    pa.array(np.array(lines, "int32")),
-                    pa.array(np.array(marks, "int64")),
-                    pa.array(keys, pa.binary()),
-                ],
-                names=["doc", "start", "size", "line", "mark", "key"],
-            )
+            rows = [
+                (doc.as_py(), line, mark, around)
+                for doc, text in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), strict=True)
+                if text.is_valid
+                for line, (mark, around) in positions(text.as_py(), run, long_words).items()
+            ]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+            kinds = (batch.column(0).type, pa.int32(), pa.int64(), _AROUND)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc", "line", "mark", "around"])
 
     return of
 
@@ -105,18 +107,21 @@ def repeated_windows(
     """``doc`` (from ``key_col``), ``start`` and ``size`` of its windows whose lines also start earlier."""
     src = docs.select(F.col(key_col).alias("doc"), F.col(text_col).alias("text"))
     kind = src.schema["doc"].dataType.simpleString()
-    schema = f"doc {kind}, start int, size int, line int, mark bigint, key binary"
-    rows = written(src.mapInArrow(_fingerprints(run, long_words), schema))
-    line = F.struct("doc", "line")
-    marks = rows.groupBy("mark").agg(F.min(line).alias("first"), F.max(line).alias("last"))
-    near = rows.join(marks.where("first <> last").select("mark"), "mark", "left_semi")
-    near = written(near.select("doc", "start", "size", "key"))
+    around = "array<struct<start: int, size: int, key: binary>>"
+    rows = written(src.mapInArrow(_fingerprints(run, long_words), f"doc {kind}, line int, mark bigint, around {around}"))
+    near = join_split(rows, _shared(rows, "mark", F.struct("doc", "line")).drop("first"), "mark")
+    near = written(near.select("doc", F.explode("around").alias("w")).select("doc", "w.start", "w.size", "w.key"))
     place = F.struct("doc", "start")
-    keys = near.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    later = near.join(keys.where("first <> last").select("key", "first"), "key").where(place != F.col("first"))
+    later = join_split(near, _shared(near, "key", place), "key").where(place != F.col("first"))
     return later.select("doc", "start", "size")
 
 
+def _shared(rows: DataFrame, key: str, place: Column) -> DataFrame:
+    """The keys found at more than one place, the first of them, and the number of rows."""
+    found = rows.groupBy(key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
+    return written(found.where("first <> last").select(key, "first", "n"))
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -125,11 +130,12 @@ def dedup_lines(
     long_words: int | None = None,
 ) -> DataFrame:
     """``docs`` with repeated runs of lines deleted from the text, and n_lines, n_deleted appended."""
-    tag = F.xxhash64(F.col(text_col))
-    tagged = docs.withColumn("_doc", F.struct(F.col(id_col).alias("id"), tag.alias("tag")))
-    found = repeated_windows(tagged.select("_doc", text_col), "_doc", text_col, run, long_words)
-    found = found.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("_found"))
-    joined = tagged.join(found, F.col("_doc").eqNullSafe(F.col("doc")), "left").drop("doc", "_doc")
+    doc, spots = fresh(docs, "doc"), fresh(docs, "spots")
+    tagged = docs.withColumn(doc, F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tag")))
+    found = repeated_windows(tagged.select(doc, text_col), doc, text_col, run, long_words)
+    found = written(found.groupBy("doc").agg(F.collect_set(F.struct("start", "size")).alias("spots")))
+    found = found.toDF(f"{doc}_of", spots)
+    joined = tagged.join(found, F.col(doc).eqNullSafe(F.col(f"{doc}_of")), "left")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_lines bigint, n_deleted bigint"
@@ -148,4 +154,4 @@ def dedup_lines(
             arrays += [pa.array(lines, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "n_lines", "n_deleted"])
 
-    return joined.select(*columns, "_found").mapInArrow(cut, schema)
+    return joined.select(*columns, spots).mapInArrow(cut, schema)
