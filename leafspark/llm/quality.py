@@ -10,11 +10,14 @@ never reach it, so ``rejected`` also lets the rate decide how far a document may
 severity (value over limit, the worst of the soft rules) times the host's shrunk rate over the mean rate must
 stay under ``slack``, and severity alone under ``severe`` on any host. The pipeline goes by ``rejected``.
 
-Plan: one scan measures the texts row by row (no shuffle); the measures, some 60 bytes a document, are
-written once, aggregated by host with map-side sums, and joined with the host table by sort-merge, whose
-hot hosts adaptive execution splits.
+Plan: one scan measures the texts row by row (no shuffle); the measures are written once with the columns to
+keep, and aggregated by host with map-side sums. The host table is written too. Up to ``MOST_HOSTS`` hosts, which
+are counted first, it is broadcast, so the verdict comes to the rows where they are, and neither rows nor texts
+move; beyond that the two written tables are sort-merge joined, where adaptive execution can split a hot host
+because nothing but the two exchanges is in the join's stage.
 
 Edge cases: a null or empty text has no words and fails the base rule. A null host is a host of its own.
+Columns to keep may have any names.
 Repeated rows are judged one by one. An empty table gives an empty result. Windows of words are compared
 by 64-bit hash within one document.
 """
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from ._common import SPACE, written
 
 _WINDOW = 8
+#: Most hosts that are broadcast, some 100 bytes each.
+MOST_HOSTS = 200_000
 
 
 @dataclass(frozen=True)
@@ -105,14 +110,15 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def host_verdicts(measured: DataFrame, rules: Rules) -> DataFrame:
-    """One row per ``host``: whether the shrunk rate reaches ``rules.host_rate``, and its ratio to the mean rate.
+def host_verdicts(measured: DataFrame, rules: Rules) -> tuple[DataFrame, int]:
+    """One row per host (``host``, ``no_host``): whether the shrunk rate reaches ``rules.host_rate``, and its ratio
+    to the mean rate; and the number of hosts.
 
     The prior has the mean and variance of the hosts' rates, both summed as integers in parts per
     million, so the result does not depend on the order of summing.
     """
-    hosts = measured.groupBy("host").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("f")
+    hosts = written(
+        measured.groupBy("host", "no_host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("f"))
     )
     ppm = F.expr("(1000000 * f) div n")
     sums = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(ppm).alias("s"), F.sum(ppm * ppm).alias("q")).first()
@@ -123,17 +129,16 @@ def host_verdicts(measured: DataFrame, rules: Rules) -> DataFrame:
     a, b = max(mean * strength, 0.0), max((1 - mean) * strength, 0.0)
     rate = (F.col("f") + F.lit(a)) / (F.col("n") + F.lit(a + b))
     ratio = rate / F.lit(mean) if mean else F.lit(1.0)
-    return hosts.select("host", (rate >= rules.host_rate).alias("host_bad"), ratio.alias("host_ratio"))
+    return hosts.select("host", "no_host", (rate >= rules.host_rate).alias("host_bad"), ratio.alias("host_ratio")), k
 
 
-def judge(
-    docs: DataFrame, keep: list[str], text_col: str = "text", host_col: str = "source", rules: Rules = Rules()
-) -> DataFrame:
-    """``keep`` columns of every document with its measures, base_failed, soft_failed, host_bad, kept and rejected."""
+def _judged(docs: DataFrame, keep: list[str], text_col: str, host_col: str, rules: Rules) -> DataFrame:
+    """As ``judge``, with the columns to keep named ``k_0`` and so on, apart from the operator's own."""
     rows = measure(
         docs.select(
             *[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)],
-            F.coalesce(F.col(host_col), F.lit("\0null")).alias("host"),
+            F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
+            F.col(host_col).isNull().alias("no_host"),
             F.col(text_col).alias("_text"),
         ),
         "_text",
@@ -155,10 +160,11 @@ def judge(
     )
     rows = rows.withColumns({"base_failed": base, "soft_failed": soft})
     rows = written(rows.withColumn("failed", F.col("base_failed") | F.col("soft_failed")))
-    judged = rows.join(host_verdicts(rows, rules), "host", "left")
+    hosts, n_hosts = host_verdicts(rows, rules)
+    judged = rows.join(F.broadcast(hosts) if n_hosts <= MOST_HOSTS else hosts, ["host", "no_host"])
     by_host = F.col("host_bad") | (severity >= rules.severe) | (severity * F.col("host_ratio") >= rules.slack)
     return judged.select(
-        *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)],
+        *[f"k_{i}" for i in range(len(keep))],
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "soft_failed", "host_bad",
         (~F.col("base_failed") & ~(F.col("soft_failed") & F.col("host_bad"))).alias("kept"),
@@ -166,16 +172,21 @@ def judge(
     )
 
 
+def judge(
+    docs: DataFrame, keep: list[str], text_col: str = "text", host_col: str = "source", rules: Rules = Rules()
+) -> DataFrame:
+    """``keep`` columns of every document with its measures, base_failed, soft_failed, host_bad, kept and rejected."""
+    made = _judged(docs, keep, text_col, host_col, rules)
+    return made.toDF(*keep, *made.columns[len(keep) :])
+
+
 def keep_good(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", strict: bool = False, **how
+    docs: DataFrame, text_col: str = "text", host_col: str = "source", strict: bool = False, rules: Rules = Rules()
 ) -> DataFrame:
     """The documents that are kept, or with ``strict`` those not rejected, with all their columns.
 
-    Rows are matched by id and a hash of the text, so repeated ids with other texts keep their own verdict.
+    The verdict is carried with the row, so repeated ids and rows are judged one by one and nothing is joined by id.
     """
-    tag = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    tagged = docs.withColumn("_tag", tag)
-    bad = judge(tagged, [id_col, "_tag"], text_col, **how).where(F.col("rejected") if strict else ~F.col("kept"))
-    bad = bad.select(F.col(id_col).alias("_bad"), F.col("_tag").alias("_bad_tag")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_bad")) & (F.col("_tag") == F.col("_bad_tag"))
-    return tagged.join(bad, same, "left_anti").drop("_tag")
+    made = _judged(docs, docs.columns, text_col, host_col, rules)
+    good = made.where(~F.col("rejected") if strict else F.col("kept"))
+    return good.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(docs.columns)])
