@@ -208,12 +208,15 @@ def brute_scores(rows, depth):
 @pytest.mark.parametrize("depth", [2, 5])
 def test_scores(docs, empty, depth):
     made = context_tree.score(docs, depth=depth)
-    assert made.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert made.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     key = lambda r: (repr(r[0]), r[2], round(r[5], 4))
     got, want = sorted((tuple(r) for r in made.collect()), key=key), sorted(brute_scores(corpus(), depth), key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
+    texts = {repr(r[0]) + str(len((r[1] or "").split()) + 1): len(" ".join((r[1] or "").split()).encode()) + 1 for r in corpus()}
     for g, w in zip(got, want, strict=True):
         assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-5)
+        if "\x1c" not in repr(g[0]):
+            assert g[7] == pytest.approx(-g[6] / math.log10(2) / texts[repr(g[0]) + str(g[2])], rel=1e-9)
     assert context_tree.score(empty).count() == 0
 
 
@@ -223,12 +226,21 @@ def test_scores_without_training_texts(spark):
     assert row["train_tokens"] == 0 and row["score"] == pytest.approx(-3 * 8 * math.log10(2), rel=1e-6)
 
 
-def test_probabilities_sum_to_one(spark):
-    train = [i for i in range(60) if not context_tree.is_held_out(i)][:20]
-    held = [i for i in range(4000) if context_tree.is_held_out(i)][:256]
-    rows = [(i, "abra cadabra abra") for i in train] + [(h, "") for h in held[:1]]
-    first = [context_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).where(f"doc_id = {held[0]}").first()["score"]]
-    assert -5 < first[0] < 0
+def test_probabilities_sum_to_one():
+    import numpy as np
+    import pyarrow as pa
+
+    depth, text = 3, b"\n\n\nabra cadabra abra\n"
+    grams = collections.Counter(text[i : i + depth + 1] for i in range(len(text) - depth))
+    for context in (b"bra", b"\n\n\n", b"xbr", b"zzz"):
+        asked = {context + bytes([v]): 0 for v in range(256)} | grams
+        keys = np.array(sorted(int.from_bytes(g, "big") for g in asked), np.uint64)
+        total = np.array([asked[int(k).to_bytes(depth + 1, "big")] for k in keys], np.int64)
+        rows = pa.table({"bucket": [0], "grams": [keys.tobytes()], "total": [total.tobytes()]})
+        sums = context_tree._grow(depth)(rows)
+        log = np.frombuffer(context_tree._weigh(depth)(rows, context_tree._top(sums))["log"][0].as_py(), np.float32)
+        own = [float(p) for k, p in zip(keys, log, strict=True) if int(k).to_bytes(depth + 1, "big")[:depth] == context]
+        assert len(own) == 256 and sum(10**p for p in own) == pytest.approx(1, rel=1e-5), context
 
 
 def test_difference():
@@ -261,6 +273,43 @@ def test_shards(spark, docs, empty):
     assert len(load) == 4 and max(load) - min(load) < 0.02 * sum(load)
 
 
+def replay(sizes, k):
+    """Differencing on plain lists: partial partitions as lists of (sum, names), the widest two combined each time."""
+    parts = [[(size, [name])] + [(0, [])] * (k - 1) for name, size in sorted(sizes, key=lambda x: (-x[1], x[0]))]
+    parts = [(slots, i) for i, slots in enumerate(parts)]
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (p[0][-1][0] - p[0][0][0], p[1]))
+        (a, _), (b, _), *parts = parts
+        slots = [(x + y, p + q) for (x, p), (y, q) in zip(a, b[::-1])]
+        parts.append((sorted(slots, key=lambda s: -s[0]), made))
+        made += 1
+    return {name: i for i, (_, names) in enumerate(parts[0][0]) for name in names} if parts else {}
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 7])
+def test_difference_against_a_replay(k):
+    rng = random.Random(k)
+    for n in (0, 1, 2, 5, 40, 120):
+        sizes = [(f"{i:03}", rng.randrange(1, 9 if n == 40 else 4000)) for i in range(n)]
+        assert sharding.difference(sizes, k) == replay(sizes, k)
+
+
+def test_shards_in_levels(spark):
+    rows = spark.range(900).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" ")), (F.col("id") % 37 + 1).cast("int")).alias("text"))
+    rows = rows.unionAll(spark.range(1000, 1400).select("id", F.lit("copies of one text")))
+    for units in (10, 100, 5000):  # three levels, two, and the plain method
+        made = sharding.shard(rows, 5, units=units).collect()
+        load, place = collections.Counter(), collections.defaultdict(set)
+        for r in made:
+            load[r["shard"]] += r["size"]
+            place[r["text_crc32"]].add(r["shard"])
+        assert len(made) == 1300 and all(len(p) == 1 for p in place.values()) and len(place) == 901
+        copies = next(r["shard"] for r in made if r["doc_id"] >= 1000)
+        del load[copies]  # the copies alone are more than a fifth of all bytes
+        assert len(load) == 4 and max(load.values()) - min(load.values()) < 0.02 * sum(load.values()), units
+
+
 CALLS = json.dumps({"tool_calls": [{"id": "b", "name": "add", "arguments": {"y": 2.0, "x": 1}, "depends_on": ["a"]}, {"id": "a", "name": "add", "arguments": "{\"x\": 1}"}]})
 TALK = [
     (1, 0, "system", "be kind"), (1, 1, "user", "hello"), (1, 2, "assistant", "hi"), (1, 3, "user", ""), (1, 5, "assistant", "late"),
@@ -289,6 +338,50 @@ def test_chat(spark):
     assert chat.format_chat(df.where("false")).count() == 0
 
 
+def brute_order(calls, needs):
+    """By call: (order_turn, level), by following the dependencies of each down; None on or behind a cycle."""
+
+    def place(c, path):
+        if c in path:
+            return None
+        before = [place(n, path | {c}) for n in needs[c]]
+        if None in before:
+            return None
+        return max([calls[c], *[b[0] for b in before]]), max([b[1] + 1 for b in before], default=0)
+
+    return {c: place(c, frozenset()) for c in calls}
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_links_order_and_cycles_against_brute_force(spark, most, monkeypatch):
+    rng = random.Random(7)
+    rows, want = [], {}
+    for conv in range(12):
+        calls, needs, answered = {}, {}, {}
+        names = [f"c{k}" for k in range(rng.randrange(1, 9))]
+        for turn, name in enumerate(names):
+            back = names if conv % 3 == 0 else names[:turn]  # every third conversation may have cycles
+            needs[name] = {n for n in back if n != name and rng.random() < 0.3}
+            calls[name] = 2 * turn
+            entry = {"id": name, "name": "reply", "arguments": {"text": "x"}, "depends_on": sorted(needs[name]) + ["nobody"]}
+            rows.append((conv, 2 * turn, "assistant", json.dumps({"tool_calls": [entry]})))
+            if rng.random() < 0.6:
+                answered[name] = 2 * turn + 1 + 20 * rng.randrange(2)
+                rows.append((conv, answered[name], "tool", json.dumps({"tool_call_id": name, "content": turn})))
+        for name, found in brute_order(calls, needs).items():
+            status = "cycle" if found is None else "linked" if name in answered else "unanswered"
+            want[conv, calls[name], name] = (status, answered.get(name), found and found[0], found and found[1])
+            if name in answered:
+                late = answered[name] if found is None else max(answered[name], found[0])
+                want[conv, answered[name], name] = ("cycle" if found is None else "linked", calls[name], late, found and found[1] + 1)
+    monkeypatch.setattr(chat.levels, "__defaults__", (most,))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    made = {(r["conv_id"], r["turn"], r["call_id"]): r for r in chat.format_chat(df).collect()}
+    got = {k: (r["status"], r["linked_turn"], r["order_turn"], r["level"]) for k, r in made.items()}
+    assert {k: v[:2] + v[3:] for k, v in got.items()} == {k: v[:2] + v[3:] for k, v in want.items()}
+    assert all(got[k][2] == want[k][2] for k in got if want[k][2] is not None and want[k][0] != "cycle")
+
+
 def test_schemas():
     assert chat.faults(True, {"type": "integer"}) and not chat.faults(True, {"type": "boolean"})
     assert chat.faults([1, "a"], {"type": "array", "items": {"type": "number"}}) == ["$[1]: not number"]

@@ -42,7 +42,7 @@ def test_licenses(spark):
     made = licenses.scan_licenses(df)
     assert made.columns == ["doc_id", "text", "n_words", "license"]
     rows = {r["doc_id"]: r["license"] for r in made.collect()}
-    assert [rows[k]["labels"] for k in (1, 2, 3, 4, 5, 6)] == [["mit"], ["apache-2", "apache-2-header"], ["cc-by-nc"], [], [], []] or rows[1]["labels"] == ["mit", "mit-notice"]
+    assert [rows[k]["labels"] for k in (1, 2, 3, 4, 5, 6)] == [["mit", "mit-notice"], ["apache-2", "apache-2-header"], ["cc-by-nc"], [], [], []]
     assert (rows[7]["n_base"], rows[7]["first_word"], rows[7]["last_word"]) == (2, 0, 4)
     assert rows[4]["first_word"] is None and rows[4]["score"] == 0 and rows[4]["n_words"] == 0
     assert rows[8]["labels"] == ["isc"] and rows[8]["score"] == 1 and rows[12]["labels"] == []
@@ -55,6 +55,18 @@ def test_licenses(spark):
             assert bool(pattern.search(line)) == (label in rows[k]["labels"]), (label, k)
 
 
+def test_optional_regions_nest():
+    mark = "start <<beginOptional>>one <<beginOptional>>two<<endOptional>> three<<endOptional>> end"
+    accepts = lambda line: licenses.Automaton("x", mark).accept(alnum_words(line), 0) >= 0
+    pattern = re.compile(licenses.as_regex(mark))
+    for words in ("start end", "start one three end", "start one two three end", "start two end", "start one end", "start three end", "start one two end"):
+        want = words in ("start end", "start one three end", "start one two three end")
+        assert accepts(words.encode()) == want and bool(pattern.search(f" {words} ")) == want, words
+    for broken in ("a <<beginOptional>>b", "a b<<endOptional>>", "a <<other>>", "<<var;max=2>> a"):
+        with pytest.raises(ValueError):
+            licenses.parse(broken)
+
+
 def test_license_empty(empty):
     assert licenses.scan_licenses(empty).count() == 0
 
@@ -98,6 +110,34 @@ def test_items_without_an_id_are_found(spark):
         assert got == {0: (13, [None], True), 1: (39, ["4", None], True), 2: (13, ["4"], True), 3: (0, [], False)}
 
 
+def test_patterns_against_brute_force():
+    rng = random.Random(4)
+    line = lambda n: " ".join(rng.choice("abc") for _ in range(n)).encode()
+    items = [(str(i % 5), line(rng.choice([1, 2, 3, 4, 6, 9]))) for i in range(9)] + [("x", line(30)), ("y", line(14))]
+    texts = [line(rng.randrange(60)) for _ in range(40)] + [None, b"", items[9][1], line(2500)]
+    for window in (2, 5, 13):
+        found = decontam.Benchmark(items, window).search(texts)
+        for text, (n, hit, names, spans) in zip(texts, found, strict=True):
+            words, want, own = alnum_words(text), set(), set()
+            for name, t in items:
+                w = alnum_words(t)
+                size = min(window, len(w))
+                grams = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+                at = [j for j in range(len(words) - size + 1) if tuple(words[j : j + size]) in grams]
+                own |= {name} if at else set()
+                want |= {j + k for j in at for k in range(size)}
+            assert (n, hit, names) == (len(words), len(want), sorted(own))
+            assert {k for a, b in spans for k in range(a, b)} == want
+
+
+def test_benchmark_slices_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d", 5, 6)], "doc_id long, text string, hits_0 int, hits_1 int")
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(["b c", "zz", "d", "x y z"])], "item_id long, text string")
+    made = decontam.decontaminate(df, bench, slice_bytes=3)
+    row = made.first()
+    assert made.columns == [*df.columns, "hits"] and (row["hits_0"], row["hits_1"], row["hits"]["n_hit"], row["hits"]["items"]) == (5, 6, 3, ["0", "2"])
+
+
 def brute_quality(text):
     text = text or ""
     words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
@@ -230,3 +270,35 @@ def test_encode_and_decode(docs, empty, model):
             assert r["ids"] == theirs.encode(r["text"]) and r["decoded"] == r["text"]
     assert sp.encode(empty).count() == 0
     assert docs.where(F.length("text") > 200).count() > 5
+
+
+def test_long_unbroken_text_takes_little_memory(model):
+    import tracemalloc
+
+    scanner, theirs = sp.Scanner(sp.Model(model)), library.SentencePieceProcessor(model_proto=model)
+    rng = random.Random(9)
+    text = "".join(rng.choice("aeiourstln") for _ in range(30_000))
+    tracemalloc.start()
+    packed = scanner.encode(text.encode())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [int.from_bytes(packed[k : k + 4], "little") for k in range(0, len(packed), 4)] == theirs.encode(text)
+    assert peak < 40 << 20
+
+
+def test_many_texts_with_a_small_memo(model, monkeypatch):
+    monkeypatch.setattr(sp, "_MEMO_BYTES", 2000)
+    scanner, theirs = sp.Scanner(sp.Model(model)), library.SentencePieceProcessor(model_proto=model)
+    texts = [t.encode() for t in samples()] + [None]
+    for k in range(0, len(texts), 25):
+        some = texts[k : k + 25]
+        for text, packed in zip(some, scanner.encode_all(some), strict=True):
+            assert packed is None if text is None else memoryview(packed).cast("i").tolist() == theirs.encode(text.decode())
+
+
+def test_columns_named_like_the_operators_own(spark, model):
+    rows = [(1, "words and " * 80, "a", "b", 5), (2, "few words", "c", "d", 6), (3, None, "e", "f", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, ids string, k int")
+    made = sp.decode(sp.encode(df, chunk=200))
+    assert made.columns == ["doc_id", "text", "row", "k", "ids", "decoded"]
+    assert sorted((r["doc_id"], r["row"], r["k"], r["decoded"]) for r in made.collect()) == [(r[0], r[2], r[4], r[1]) for r in rows]
