@@ -31,8 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are linked by a number of their own, as ids may be null or repeated.
     """
     rows = written(docs.withColumn("_node", F.monotonically_increasing_id()))
-    # Blocks are counted by bytes on disk, and these files are smaller than the stages' own.
-    classes = ngram_join.link_classes(rows, "_node", block_bytes=3 << 20).select("_node", "component_id")
+    classes = ngram_join.link_classes(rows.select("_node", "text"), "_node").select("_node", "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("tag"), "_node")
     firsts = rows.select("_node", order.alias("order")).join(classes, "_node")
     firsts = firsts.groupBy("component_id").agg(F.min("order").alias("order")).select("order._node")
