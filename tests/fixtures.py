@@ -18,89 +18,45 @@ BOMB = P.docx_body("", {"word/styles.xml": b" " * ((64 << 20) + 10)})
 ENCRYPTED_PDF = MIXED_PDF.replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt << /Filter /Standard /V 1 /R 2 >>")
 
 
-def placed(pages, width=600, height=800):
-    """A PDF that draws every character on its own: pages of (x, y from the top, size, bold, text).
 
-    Characters advance by whole units, narrower or wider than the widths the fonts declare.
-    """
-    chars = sorted({c for p in pages for run in p for c in run[4]})
-    code = {c: k + 1 for k, c in enumerate(chars)}
-    cmap = "1 begincodespacerange <0000> <FFFF> endcodespacerange\n" + f"{len(chars)} beginbfchar\n" + "".join(f"<{code[c]:04x}> <{ord(c):04x}>\n" for c in chars) + "endbfchar\n"
-    stream = lambda body: f"<< /Length {len(body)} >>\nstream\n{body}\nendstream"
-    objects = ["<< /Type /Catalog /Pages 2 0 R >>", ""]
-    for name in ("Serif", "Serif-Bold"):
-        at = len(objects)
-        objects += [
-            f"<< /Type /Font /Subtype /Type0 /BaseFont /{name} /Encoding /Identity-H /DescendantFonts [{at + 2} 0 R] /ToUnicode {at + 3} 0 R >>",
-            f"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /{name} /DW 520 >>",
-            stream(cmap),
-        ]
-    kids = []
-    for runs in pages:
-        body = f"q 1 0 0 -1 0 {height} cm 0.75 0 0 0.75 0 0 cm\n"
-        for x, y, size, bold, text in runs:
-            step = lambda c, size=size: max(1, round(size * (0.25 if c in " ,.-/" else 0.5)))
-            at = x
-            for c in text:
-                body += f"BT /F{2 if bold else 1} {size} Tf 1 0 0 -1 {at} {y} Tm <{code[c]:04x}> Tj ET\n"
-                at += step(c)
-        kids.append(f"{len(objects) + 1} 0 R")
-        objects += [
-            f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {width} {height}] /Resources << /Font << /F1 3 0 R /F2 6 0 R >> >> /Contents {len(objects) + 2} 0 R >>",
-            stream(body + "Q"),
-        ]
-    objects[1] = f"<< /Type /Pages /Kids [{' '.join(kids)}] /Count {len(kids)} >>"
-    out, at = bytearray(b"%PDF-1.4\n"), []
-    for k, o in enumerate(objects, 1):
-        at.append(len(out))
-        out += f"{k} 0 obj\n{o}\nendobj\n".encode("latin-1")
-    xref = len(out)
-    out += f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n".encode() + b"".join(b"%010d 00000 n \n" % p for p in at)
-    return bytes(out + f"trailer\n<< /Size {len(objects) + 1} /Root 1 0 R >>\nstartxref\n{xref}\n%%EOF\n".encode())
-
-
-def _figures(y, cells, bold=False):
-    """Right-aligned figures that end 44 units after their column begins."""
-    return [(x + 44 - 4 * len(c), y, 8, bold, c) for x, c in cells]
-
-
-_TITLE = [(20, 18, 16, True, "BETA GROUP")]
-POSITION = [
-    *_TITLE,
-    (20, 34, 12, True, "STATEMENT OF POSITION"),
-    (30, 50, 8, True, "Statement of position"),
-    (310, 50, 8, True, "30/06/2031"),
-    (370, 50, 8, True, "30/06/2030"),
-    (30, 62, 8, True, "ASSETS"),
-    (42, 74, 8, False, "Bank balances"),
-    *_figures(74, [(310, "7,310"), (370, "655")]),
-    (42, 86, 8, True, "All assets"),
-    *_figures(86, [(310, "9,027"), (370, "8,140")], True),
-]
-#: Column: titles and periods, each stacked around its own middle line.
-_COLUMNS = [(280, ["All equity"], ["01/07/2030-", "30/06/2031"]), (370, ["Earnings kept", "(losses)"], ["01/07/2030-30/06/2031"]), (530, ["All equity"], ["01/07/2029-", "30/06/2030"])]
+def typed(*pages):
+    """A PDF of A5 pages in two simple fonts whose characters are half as wide as high, bold where a text begins with *.
 
-
-def _stack(middle, part):
-    return [(c[0], middle - 5 * (len(c[part]) - 1) + 10 * k, 8, True, t) for c in _COLUMNS for k, t in enumerate(c[part])]
-
-
-CHANGES = [
-    *_TITLE,
-    (20, 34, 12, True, "STATEMENT OF CHANGES"),
-    *_stack(50, 1),
-    (30, 60, 8, True, "Statement of changes"),
-    *_stack(70, 2),
-    (28, 86, 8, True, "STATEMENT OF CHANGES"),
-    (42, 98, 8, False, "At the start"),
-    *_figures(98, [(c[0], "6,002") for c in _COLUMNS]),
-    (42, 110, 8, True, "All equity"),
-    *_figures(110, [(c[0], "5,419") for c in _COLUMNS], True),
-]
-STATEMENT = placed([POSITION, CHANGES], 842, 595)
-NOTE = [*_TITLE, (20, 36, 12, True, "NOTE 7 LEASES"), (30, 64, 12, False, "Amounts are in thousands."), (30, 86, 12, False, "No lease ends within the year.")]
-BLANK_PDF = placed([NOTE, [], NOTE])
-KEYS = placed([[
-    *_TITLE, (20, 34, 12, True, "ABOUT THIS REPORT"),
-    *[(x, 50 + 11 * k, 8, False, t) for k, row in enumerate([("Name", "BETA GROUP"), ("Identifier", "BG-17"), ("Whether the group has published any report of this kind before the present one", "No"), ("Currency", "Euro")]) for x, t in zip((40, 400), row, strict=True)],
-]])
+    A page is a list of (left, bottom, size, text), bottoms counted from the page's lower edge.
+    """
+    parts = {1: b"<</Type/Catalog/Pages 2 0 R>>"}
+    for own, name in ((3, b"Times-Roman"), (4, b"Times-Bold")):
+        parts[own] = b"<</Type/Font/Subtype/Type1/BaseFont/%s/FirstChar 32/LastChar 126/Widths[%s]/Encoding/WinAnsiEncoding>>" % (name, b" ".join([b"500"] * 95))
+    for k, page in enumerate(pages):
+        shown = [b"BT /%s %d Tf %d %d Td (%s) Tj ET" % (b"B" if t[0] == "*" else b"R", size, x, y, t.lstrip("*").encode()) for x, y, size, t in page]
+        stream = b"\n".join(shown)
+        parts[5 + 2 * k] = b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 420 595]/Resources<</Font<</R 3 0 R/B 4 0 R>>>>/Contents %d 0 R>>" % (6 + 2 * k)
+        parts[6 + 2 * k] = b"<</Length %d>>stream\n%s\nendstream" % (len(stream), stream)
+    parts[2] = b"<</Type/Pages/Count %d/Kids[%s]>>" % (len(pages), b" ".join(b"%d 0 R" % (5 + 2 * k) for k in range(len(pages))))
+    data, offsets = b"%PDF-1.5\n", []
+    for own in sorted(parts):
+        offsets.append(len(data))
+        data += b"%d 0 obj%s endobj\n" % (own, parts[own])
+    table = b"".join(b"%010d 00000 n \n" % o for o in offsets)
+    return data + b"xref\n0 %d\n0000000000 65535 f \n%strailer<</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF" % (len(parts) + 1, table, len(parts) + 1, len(data))
+
+
+def row(bottom, *cells, size=9):
+    """Cells at their columns' left edges."""
+    return [(x, bottom, size, t) for x, t in zip((30, 150, 240, 330), cells, strict=False) if t]
+
+
+#: A table whose header fills two lines.
+RAINFALL = typed(
+    [(30, 540, 18, "*Rainfall at four stations"), (30, 510, 9, "Measured with a gauge at each harbour wall."),
+     *row(466, "", "*Rain in", "*Sunny", "*Wettest"), *row(460, "*Station", "*June (mm)", "*days", "*day"),
+     *row(440, "Northhaven", "61", "14", "9 June"), *row(420, "Eastport", "48", "17", "21 June"), *row(400, "Southcliff", "35", "22", "2 June"), *row(380, "*All", "*144", "*53", "")],
+)
+#: Labels and what belongs to them.
+GAUGE = typed(
+    [(30, 540, 18, "*About the gauge"), *[(x, 500 - 18 * k, 9, t) for k, pair in enumerate(
+        [("Maker", "Tidewater Instruments"), ("Height above the sea wall", "2 m"), ("Read at", "7 o'clock")]) for x, t in zip((30, 250), pair, strict=True)]],
+)
+_LETTER = [(30, 540, 18, "*To the harbour master"), (30, 500, 9, "The gauge was moved in spring."), (30, 470, 9, "It is read every morning.")]
+LETTER = typed(_LETTER, [], [(30, 540, 18, "*Postscript"), (30, 500, 9, "The old gauge is for sale.")])
+SURVEY = typed(_LETTER, row(471, "*Bird", "*Seen") + row(450, "Tern", "12") + row(430, "Gull", "90"))

@@ -3,6 +3,7 @@ import zipfile
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from leafspark import FORMATS, ConvertError, convert, format_from_bytes, format_from_extension, format_from_path, model
 from leafspark.formats import check_format, join_formats
@@ -107,7 +108,7 @@ def test_errors():
 
 
 def test_every_cut_of_a_document_is_an_error_or_a_result():
-    for data, name in ((X.RICH, "docx"), (X.STATEMENT, "pdf"), (P.rtf(["a", "b"]), "rtf"), (P.xlsx({"a": [["b"]]}), "xlsx")):
+    for data, name in ((X.RICH, "docx"), (X.RAINFALL, "pdf"), (P.rtf(["a", "b"]), "rtf"), (P.xlsx({"a": [["b"]]}), "xlsx")):
         for cut in range(0, len(data), max(1, len(data) // 40)):
             value, error = convert.guarded(convert.to_markdown, data[:cut], name)
             assert (value is None) != (error is None)
@@ -120,18 +121,17 @@ def test_concurrent_calls():
 
 
 def test_pages_in_order():
-    pages = convert.to_pages(X.STATEMENT)
-    assert [n for n, _ in pages] == [1, 2]
-    assert "## STATEMENT OF POSITION" in pages[0][1] and "## STATEMENT OF CHANGES" in pages[1][1]
-    assert convert.to_pages(X.STATEMENT, "pdf") == pages
-    for data in (X.STATEMENT, X.BLANK_PDF, X.KEYS):
+    pages = convert.to_pages(X.SURVEY)
+    assert [n for n, _ in pages] == [1, 2] and convert.to_pages(X.SURVEY, "pdf") == pages
+    assert pages[0][1].startswith("# To the harbour master") or pages[0][1].startswith("## To the harbour master")
+    for data in (X.SURVEY, X.LETTER, X.GAUGE, X.RAINFALL):
         assert "\n".join(t for _, t in convert.to_pages(data) if t) == convert.to_markdown(data)
 
 
 def test_blank_pages_stay():
-    pages = convert.to_pages(X.BLANK_PDF)
+    pages = convert.to_pages(X.LETTER)
     assert [(n, t == "") for n, t in pages] == [(1, False), (2, True), (3, False)]
-    assert "## NOTE 7 LEASES" in pages[2][1]
+    assert "# Postscript" in pages[2][1] and "The old gauge is for sale." in pages[2][1]
 
 
 def test_page_errors():
@@ -145,30 +145,24 @@ def test_page_errors():
     assert code(convert.to_pages, b"name,qty\n").message == "unrecognized file content: name the format explicitly"
 
 
-def test_table_rows():
-    one, two = (t for _, t in convert.to_pages(X.STATEMENT))
-    for row in ("|Statement of position|30/06/2031|30/06/2030|", "|All assets|9,027|8,140|"):
-        assert row + "\n" in one
-    assert "All equity 5,419 5,419 5,419" in plain_lines(two)
-    assert "ASSETS" in plain_lines(one)
+def test_table_with_a_header_of_two_lines():
+    ((_, text),) = convert.to_pages(X.RAINFALL)
+    lines = text.split("\n")
+    (rule,) = [k for k, x in enumerate(lines) if x.startswith("|---|")]
+    bare = [x.replace("*", "").strip("|").split("|") for x in (lines[rule - 1], *lines[rule + 1 : rule + 5])]
+    assert bare[0] == ["Station", "Rain in June (mm)", "Sunny days", "Wettest day"]
+    assert bare[1:4] == [["Northhaven", "61", "14", "9 June"], ["Eastport", "48", "17", "21 June"], ["Southcliff", "35", "22", "2 June"]]
+    assert {"Eastport 48 17 21 June", "All 144 53"} <= set(plain_lines(text)) and "Measured with a gauge at each harbour wall." in text
 
 
-def test_stacked_header_is_one_row():
-    lines = convert.to_pages(X.STATEMENT)[1][1].split("\n")
-    rules = [k for k, x in enumerate(lines) if x.startswith("|---|")]
-    assert len(rules) == 1
-    cells = lines[rules[0] - 1].strip("|").split("|")
-    assert cells == ["Statement of changes", "All equity 01/07/2030-30/06/2031", "Earnings kept (losses) 01/07/2030-30/06/2031", "All equity 01/07/2029-30/06/2030"]
-
-
-def test_key_value_rows():
-    ((_, text),) = convert.to_pages(X.KEYS)
-    assert {"Name BETA GROUP", "Identifier BG-17", "Currency Euro"} <= set(plain_lines(text))
+def test_labels_and_values_stay_together():
+    ((_, text),) = convert.to_pages(X.GAUGE)
+    assert ["Maker Tidewater Instruments", "Height above the sea wall 2 m", "Read at 7 o'clock"] == plain_lines(text)[-3:]
 
 
 def test_broken_cross_reference_is_rebuilt():
-    broken = re.sub(rb"startxref\n\d+", b"startxref\n99999999", X.STATEMENT)
-    assert convert.to_pages(broken) == convert.to_pages(X.STATEMENT)
+    broken = re.sub(rb"startxref\n\d+", b"startxref\n99999999", X.SURVEY)
+    assert convert.to_pages(broken) == convert.to_pages(X.SURVEY)
 
 
 def test_lists_notes_links_and_merged_cells():
@@ -206,7 +200,7 @@ def test_zip_writer_round_trip():
 def test_json_round_trips():
     doc = convert.to_document(X.RICH)
     assert model.from_json(model.to_json(doc)) == doc
-    pages = convert.to_pages(X.BLANK_PDF)
+    pages = convert.to_pages(X.LETTER)
     assert model.pages_from_json(model.pages_to_json(pages)) == pages
     for bad in ("", "[]", "{}", '{"blocks": 1}'):
         assert code(model.from_json, bad).message.startswith("document json: ")
@@ -224,3 +218,33 @@ def test_model_invariants():
                     if slot["kind"] == "covered":
                         cell = grid[slot["origin_row"]][slot["origin_col"]]["cell"]
                         assert slot["origin_row"] + cell["row_span"] > r and slot["origin_col"] + cell["col_span"] > c
+
+
+def test_white_space_of_any_length_before_a_signature(spark):
+    from leafspark.functions import detect
+
+    heads = [b" " * n + b"{\\rtf1 x}" for n in (0, 3, 59, 60, 64, 80, 5000)] + [b" " * 90, b"\n" * 70 + b"no", b""]
+    rows = spark.createDataFrame([(k, h) for k, h in enumerate(heads)], "k int, content binary").select("k", detect(F.col("content")).alias("f")).collect()
+    assert {r["k"]: r["f"] for r in rows} == {k: format_from_bytes(h) for k, h in enumerate(heads)}
+
+
+def test_what_cannot_be_read_whole_is_an_error():
+    bomb = P.odf("odt", '<text:p>a<text:s text:c="2000000"/>b</text:p>')
+    e = code(convert.to_markdown, bomb)
+    assert (e.code, e.limit) == ("resourceLimit", "max_blanks")
+    assert "a" + " " * 1500 + "b" in convert.plain_text(convert.to_document(P.odf("odt", '<text:p>a<text:s text:c="1500"/>b</text:p>'))["blocks"][0]["content"])
+
+
+def test_failed_documents_have_a_row(spark):
+    from leafspark import operators
+
+    df = spark.createDataFrame([(1, P.docx(["a"])), (2, P.docx_body("<w:p>").replace(b"document.xml", b"documens.xml"))], "doc_id long, content binary")
+    rows = operators.node_table(df, "blocks", format="docx", errors=True).select("doc_id", "text", "error.code").collect()
+    assert sorted(map(tuple, rows)) == [(1, "a", None), (2, None, rows[[r["doc_id"] for r in rows].index(2)]["code"])] and all(r["code"] for r in rows if r["doc_id"] == 2)
+    assert [r["doc_id"] for r in operators.node_table(df, "blocks", format="docx").collect()] == [1]
+
+
+def test_attributes_with_quotes():
+    made = P.docx_body(P.docx_image("i1", 'a "quoted" <name>'), {"word/media/p.png": P.PNG}, [("i1", "image", "media/p.png")])
+    (image,) = [i for b in convert.to_document(made)["blocks"] for i in b["content"] if i["kind"] == "image"]
+    assert image["alt"] == 'a "quoted" <name>' and len(convert.to_document(P.xlsx({'x"y': [["b"]]}))["blocks"]) == 2

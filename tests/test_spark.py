@@ -11,7 +11,7 @@ from leafspark.plans import payloads as P
 from . import fixtures as X
 
 CASES = [
-    (1, "a.docx", X.RICH, None), (2, "b.csv", X.SHEET, None), (3, "c.bin", X.SHEET, None), (4, "d.pdf", X.STATEMENT, None),
+    (1, "a.docx", X.RICH, None), (2, "b.csv", X.SHEET, None), (3, "c.bin", X.SHEET, None), (4, "d.pdf", X.SURVEY, None),
     (5, "e.pdf", X.MIXED_PDF, None), (6, "f.odt", X.ENCRYPTED_ODT, "odt"), (7, "g.x", b"junk", "docx"), (8, "h.x", b"junk", "word"), (9, "i.x", None, None),
 ]
 
@@ -132,7 +132,7 @@ def test_sources_and_sinks(spark, docs, tmp_path):
 
 
 def test_stream(spark, tmp_path):
-    for k, data in enumerate((X.STATEMENT, X.SHEET)):
+    for k, data in enumerate((X.SURVEY, X.SHEET)):
         (tmp_path / f"in{k}.pdf").write_bytes(data)
     os.rename(tmp_path / "in1.pdf", tmp_path / "in1.csv")
     folder = tmp_path / "out"
