@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .. import convert
-from ..errors import guarded
+from ..errors import ERROR, guarded
 from ..model import plain
 from .conversion import mapped
 
@@ -112,16 +112,21 @@ def rows_of(doc: dict, table: str) -> Iterator[tuple]:
 
 
 def node_table(
-    df: DataFrame, table: str, content: str = "content", format: str | None = None, format_col: str | None = None, path_col: str | None = None
-) -> DataFrame:
+    df: DataFrame, table: str, content: str = "content", format: str | None = None, format_col: str | None = None, path_col: str | None = None,
+    errors: bool = False,
+) -> DataFrame:
     """The rows of ``table`` for every document that converts, behind the document's other columns.
 
-    Documents that fail have no rows here; their errors are in :func:`leafspark.operators.documents`.
+    With ``errors`` there is a last column ``error``, and a document that fails has one row with nothing else in it;
+    without, it has no row, and its error is in :func:`leafspark.operators.documents`.
     """
+    fields = [*TABLES[table].fields, *([T.StructField("error", ERROR)] if errors else [])]
     width = len(TABLES[table].fields)
 
     def make(data: bytes, name: str | None, wrong):
-        found = None if wrong else guarded(lambda *a: _Walk(table).document(convert.to_document(*a)), data, name)[0]
-        return [row[:width] for row in found or ()]
+        found, error = (None, wrong) if wrong else guarded(lambda *a: _Walk(table).document(convert.to_document(*a)), data, name)
+        if errors and error:
+            return [(*[None] * width, error)]
+        return [(*row[:width], None) if errors else row[:width] for row in found or ()]
 
-    return mapped(df, content, format, format_col, path_col, TABLES[table].fields, make)
+    return mapped(df, content, format, format_col, path_col, fields, make)

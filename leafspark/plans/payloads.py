@@ -10,7 +10,7 @@ import io
 import re
 import struct
 import zipfile
-from xml.sax.saxutils import escape
+from xml.sax.saxutils import escape, quoteattr
 
 _BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"'
@@ -26,6 +26,11 @@ def clean(text: str) -> str:
     return escape(_BAD.sub("", text))
 
 
+def attribute(text: str) -> str:
+    """An attribute's value, with its quotes."""
+    return quoteattr(_BAD.sub("", text))
+
+
 def pack(parts: dict[str, str | bytes], stored: str | None = None) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -86,7 +91,33 @@ def docx_table(rows: list[list[str]]) -> str:
 
 
 def docx_image(rel: str, alt: str) -> str:
-    return f'<w:p><w:r><w:drawing><wp:inline><wp:docPr id="1" name="p" descr="{clean(alt)}"/><a:blip r:embed="{rel}"/></wp:inline></w:drawing></w:r></w:p>'
+    return f'<w:p><w:r><w:drawing><wp:inline><wp:docPr id="1" name="p" descr={attribute(alt)}/><a:blip r:embed="{rel}"/></wp:inline></w:drawing></w:r></w:p>'
+
+
+def docx_listed(lines: list[str]) -> bytes:
+    """A decimal list that begins at 3, an item a line."""
+    level = '<w:lvl w:ilvl="0"><w:start w:val="3"/><w:numFmt w:val="decimal"/></w:lvl>'
+    numbering = f'<w:numbering {_W}><w:abstractNum w:abstractNumId="0">{level}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num></w:numbering>'
+    mark = '<w:pPr><w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr></w:pPr>'
+    body = "".join(f"<w:p>{mark}{docx_run(x)}</w:p>" for x in lines)
+    return docx_body(body, {"word/numbering.xml": numbering}, [("n", "numbering", "numbering.xml")])
+
+
+def docx_referring(lines: list[str]) -> bytes:
+    """A paragraph a line, which links to ``https://example.org/<number>`` and has a footnote that repeats the line."""
+    paragraph = '<w:p><w:hyperlink r:id="h{0}">{1}</w:hyperlink><w:r><w:footnoteReference w:id="{2}"/></w:r></w:p>'
+    body = "".join(paragraph.format(k, docx_run(x), k + 2) for k, x in enumerate(lines))
+    notes = "".join(f'<w:footnote w:id="{k + 2}"><w:p>{docx_run(x)}</w:p></w:footnote>' for k, x in enumerate(lines))
+    links = [(f'h{k}" TargetMode="External', "hyperlink", f"https://example.org/{k}") for k in range(len(lines))]
+    return docx_body(body, {"word/footnotes.xml": f"<w:footnotes {_W}>{notes}</w:footnotes>"}, [("f", "footnotes", "footnotes.xml"), *links])
+
+
+def docx_merged(lines: list[str]) -> bytes:
+    """A table of two columns: the first line over both, then one cell beside all the other lines."""
+    cell = lambda text, props="": f"<w:tc>{f'<w:tcPr>{props}</w:tcPr>' if props else ''}{docx_paragraph(docx_run(text) if text else '')}</w:tc>"
+    rows = [cell(x, '<w:gridSpan w:val="2"/>') for x in lines[:1]]
+    rows += [cell("" if k else "side", "<w:vMerge/>" if k else '<w:vMerge w:val="restart"/>') + cell(x) for k, x in enumerate(lines[1:])]
+    return docx_body(f"<w:tbl>{''.join(f'<w:tr>{r}</w:tr>' for r in rows)}</w:tbl>" if rows else "")
 
 
 def _column(k: int) -> str:
@@ -105,7 +136,7 @@ def xlsx(sheets: dict[str, list[list]]) -> bytes:
         "_rels/.rels": _relations(("r1", "officeDocument", "xl/workbook.xml")),
         "xl/_rels/workbook.xml.rels": _relations(*[(f"s{k}", "worksheet", f"worksheets/sheet{k}.xml") for k in range(len(sheets))]),
         "xl/workbook.xml": f'<workbook {ns} xmlns:r="{_REL}"><sheets>'
-        + "".join(f'<sheet name="{clean(n)}" sheetId="{k + 1}" r:id="s{k}"/>' for k, n in enumerate(sheets))
+        + "".join(f'<sheet name={attribute(n)} sheetId="{k + 1}" r:id="s{k}"/>' for k, n in enumerate(sheets))
         + "</sheets></workbook>",
     }
 
@@ -162,7 +193,7 @@ def odt(lines: list[str]) -> bytes:
 
 def ods(sheets: dict[str, list[list[str]]]) -> bytes:
     cell = lambda v: f"<table:table-cell><text:p>{_spaces(v)}</text:p></table:table-cell>"
-    return odf("ods", "".join(f'<table:table table:name="{clean(n)}">' + "".join("<table:table-row>" + "".join(map(cell, r)) + "</table:table-row>" for r in rows) + "</table:table>" for n, rows in sheets.items()))
+    return odf("ods", "".join(f'<table:table table:name={attribute(n)}>' + "".join("<table:table-row>" + "".join(map(cell, r)) + "</table:table-row>" for r in rows) + "</table:table>" for n, rows in sheets.items()))
 
 
 def odp(slides: list[list[str]]) -> bytes:

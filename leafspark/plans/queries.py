@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import base64_text, detect, format_from_extension, format_from_path, join_pages, plain_lines
-from ..operators import dangling_assets, documents, markdown, node_table, pages
+from ..operators import covered_origins, dangling_assets, documents, markdown, node_table, pages
 from . import payloads
 
 
@@ -27,10 +27,15 @@ def _lines(text: Column) -> Column:
 
 
 def _made(spark: SparkSession, sf_dir: str, write: Callable[[list[str]], bytes]) -> DataFrame:
-    """doc_id and content: the lines of every text that has one, written as a document."""
+    """doc_id and content: the lines of every text, if it has any, written as a document."""
     make = F.pandas_udf(lambda s: s.map(lambda lines: write(list(lines))), "binary")
-    docs = _read(spark, sf_dir, "documents").select("doc_id", _lines(F.col("text")).alias("lines"))
-    return docs.where(F.size("lines") > 0).select("doc_id", make("lines").alias("content"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", _lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    return docs.select("doc_id", make("lines").alias("content"))
+
+
+def _table(made: DataFrame, table: str, where: str) -> DataFrame:
+    """The rows of a node table, and a row of nulls for each document that failed, so that none goes unseen."""
+    return node_table(made, table, errors=True).where(f"error is not null or ({where})")
 
 
 def _csv(*columns: str) -> Column:
@@ -65,11 +70,15 @@ def csv_header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HEADS = ["%PDF-1.7\n", "{\\rtf1 ", "", "  {\\rtf1", "name,qty\n"]
 
 
+def _behind(spark: SparkSession, sf_dir: str, head: Column) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).cast("binary").alias("content"))
+
+
 def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text behind one of five beginnings."""
     heads = F.array(*[F.lit(h) for h in _HEADS])
     head = F.element_at(heads, (F.pmod(F.col("doc_id"), F.lit(len(_HEADS))) + 1).cast("int"))
-    return _read(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).cast("binary").alias("content"))
+    return _behind(spark, sf_dir, head)
 
 
 def format_from_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +122,8 @@ def unnamed_csv_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_unsupported_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = documents(_headed(spark, sf_dir)).where("format = 'pdf'")
+    """Every text behind a PDF's beginning, which has no document model."""
+    found = documents(_behind(spark, sf_dir, F.lit(_HEADS[0])))
     said = F.contains(F.lower("error.message"), F.lit("markdown"))
     return found.select("doc_id", "format", F.col("error.code").alias("code"), said.alias("says_markdown"), F.col("document").isNull().alias("empty"))
 
@@ -129,7 +139,7 @@ def error_code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text's lines as pages, and the pages joined again without the empty ones."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "markdown"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("number", "markdown"))
     return docs.groupBy("doc_id").agg(
         join_pages(F.col("number"), F.col("markdown")).alias("markdown"), F.count(F.lit(1)).alias("n_pages")
     )
@@ -142,7 +152,7 @@ def plain_table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of every document's inline runs, in order."""
-    runs = node_table(_made(spark, sf_dir, payloads.docx), "inlines").where("kind = 'text'")
+    runs = _table(_made(spark, sf_dir, payloads.docx), "inlines", "kind = 'text'")
     parts = F.array_sort(F.collect_list(F.struct("path", "text")))
     return runs.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
 
@@ -164,7 +174,7 @@ def pdf_pages_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _blocks(write: Callable[[list[str]], bytes]):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        blocks = node_table(_made(spark, sf_dir, write), "blocks").where("container = 'body'")
+        blocks = _table(_made(spark, sf_dir, write), "blocks", "container = 'body'")
         return blocks.select("doc_id", "ordinal", "kind", "level", "text")
 
     return query
@@ -180,7 +190,7 @@ def _ods_sheet(lines: list[str]) -> bytes:
 
 def _cells(write: Callable[[list[str]], bytes]):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cells = node_table(_made(spark, sf_dir, write), "cells")
+        cells = _table(_made(spark, sf_dir, write), "cells", "true")
         return cells.select("doc_id", "row", "col", "is_header", "text")
 
     return query
@@ -188,7 +198,7 @@ def _cells(write: Callable[[list[str]], bytes]):
 
 def _slides(write: Callable[[list[list[str]]], bytes]):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        blocks = node_table(_made(spark, sf_dir, lambda lines: write([[x] for x in lines])), "blocks")
+        blocks = _table(_made(spark, sf_dir, lambda lines: write([[x] for x in lines])), "blocks", "true")
         return blocks.select("doc_id", "ordinal", "kind", "level", "text")
 
     return query
@@ -203,21 +213,111 @@ def _with_images(lines: list[str]) -> bytes:
 
 
 def image_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assets = node_table(_made(spark, sf_dir, _with_images), "assets")
+    assets = _table(_made(spark, sf_dir, _with_images), "assets", "true")
     return assets.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_assets"), F.sum("n_bytes").alias("n_bytes"), F.min("media_type").alias("media_type")
     )
 
 
 def refs_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Image references by document: all, unavailable ones, and those whose asset is not there."""
-    made = _made(spark, sf_dir, _with_images)
-    images, assets = node_table(made, "inlines").where("kind = 'image'"), node_table(made, "assets")
+    """Image references by document: all, unavailable ones, and those whose asset is not there.
+
+    The assets are those of an earlier version of each document, without its last line.
+    """
+    images = _table(_made(spark, sf_dir, _with_images), "inlines", "kind = 'image'")
+    assets = _table(_made(spark, sf_dir, lambda lines: _with_images(lines[:-1])), "assets", "true")
     lost = dangling_assets(images, assets).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lost"))
     counts = images.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("source_kind") == "unavailable").alias("unavailable"))
     return counts.join(lost, "doc_id", "left").select("doc_id", "n", "unavailable", F.coalesce("lost", F.lit(0).cast("long")).alias("n_dangling"))
 
 
+def pdf_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same PDFs as one Markdown text each; those without any line have nothing to extract."""
+    made = markdown(_made(spark, sf_dir, _pdf_payload))
+    return made.select("doc_id", "format", F.sha2(F.col("markdown").cast("binary"), 256).alias("sha256"), F.col("error.code").alias("code"), F.col("error.message").alias("message"))
+
+
+def pdf_needs_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PDFs of three pages, the second and the third of which only show an image."""
+    found = pages(_made(spark, sf_dir, lambda lines: payloads.pdf([[*lines, "."], [], []], images=(2, 3))))
+    return found.select("doc_id", "number", "markdown", F.col("error.code").alias("code"), F.array_join("error.pages", ",").alias("pages"), F.col("error.page_count").alias("page_count"))
+
+
+def docx_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _table(_made(spark, sf_dir, payloads.docx_listed), "blocks", "true")
+    return blocks.select("doc_id", "container", "path", "kind", "list_marker", "list_start", "text")
+
+
+def docx_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(_made(spark, sf_dir, payloads.docx_listed), "list_items", "true").select("doc_id", "list_id", "ordinal", "marker_label")
+
+
+def docx_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _table(_made(spark, sf_dir, payloads.docx_referring), "inlines", "kind = 'link'")
+    return links.select("doc_id", "path", "target_kind", "target_value")
+
+
+def docx_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footnotes by document: the blocks in them with their text."""
+    blocks = _table(_made(spark, sf_dir, payloads.docx_referring), "blocks", "container = 'note'")
+    return blocks.select("doc_id", "path", "kind", "text")
+
+
+def docx_note_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Note references by document, joined with their notes."""
+    made = _made(spark, sf_dir, payloads.docx_referring)
+    refs = _table(made, "inlines", "kind = 'note_ref'").select("doc_id", "note_id")
+    notes = _table(made, "notes", "true").select("doc_id", "note_id", F.col("kind").alias("note"))
+    return refs.join(notes, ["doc_id", "note_id"], "left").groupBy("doc_id", "note").agg(F.count(F.lit(1)).alias("n"))
+
+
+def docx_covered_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = covered_origins(_table(_made(spark, sf_dir, payloads.docx_merged), "cells", "true"))
+    return cells.select("doc_id", "row", "col", "origin_row", "origin_col", "origin_text", "origin_col_span", "origin_row_span")
+
+
+def document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is in the canonical JSON of every document."""
+    made = documents(_made(spark, sf_dir, payloads.docx))
+    schema = "blocks array<struct<kind: string, level: int, content: array<struct<kind: string, text: string>>>>, notes array<string>, assets array<string>"
+    doc = F.from_json("document", schema)
+    made = made.select("doc_id", F.col("error").isNotNull().alias("failed"), doc.alias("d"))
+    texts = F.transform("d.blocks", lambda b: F.array_join(b["content"]["text"], ""))
+    return made.select("doc_id", "failed", F.size("d.blocks").alias("n_blocks"), F.sha2(F.array_join(texts, "\n").cast("binary"), 256).alias("sha256"), (F.size("d.notes") + F.size("d.assets")).alias("n_rest"))
+
+
+_PACKAGES = ["docx", "pptx", "xlsx", "odt", "ods", "odp", "epub"]
+
+
+def package_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text written as each of the ZIP formats, and the format that its bytes show."""
+    writers = {"docx": payloads.docx, "pptx": lambda x: payloads.pptx([[y] for y in x]), "xlsx": _sheet, "odt": payloads.odt, "ods": _ods_sheet, "odp": lambda x: payloads.odp([[y] for y in x]), "epub": payloads.epub}
+    made = [_made(spark, sf_dir, writers[k]).select("doc_id", F.lit(k).alias("written"), detect(F.col("content")).alias("format")) for k in _PACKAGES]
+    out = made[0]
+    for other in made[1:]:
+        out = out.unionByName(other)
+    return out.groupBy("written", "format").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _broken(name: str) -> list[tuple[str, bytes]]:
+    """(format, content) of four documents that fail for different reasons."""
+    locked = '<m:manifest xmlns:m="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0"><m:file-entry m:full-path="content.xml"><m:encryption-data/></m:file-entry></m:manifest>'
+    return [
+        ("pdf", payloads.pdf([[name], []], images=(2,))),
+        ("docx", payloads.pack({"[Content_Types].xml": " "})),
+        ("odt", payloads.odf("odt", "", locked)),
+        ("docx", payloads.docx_body("", {"word/styles.xml": b" " * ((64 << 20) + 1)})),
+    ]
+
+
+def error_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes with extras, for four documents of every region."""
+    make = F.pandas_udf(lambda s: s.map(lambda name: [{"format": f, "content": c} for f, c in _broken(name)]), "array<struct<format: string, content: binary>>")
+    docs = _read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region"), F.posexplode(make("r_name")).alias("case", "d"))
+    made = markdown(docs.select("region", "case", F.col("d.format").alias("named"), F.col("d.content").alias("content")), format_col="named")
+    return made.select("region", "case", F.col("error.code").alias("code"), F.array_join("error.pages", ",").alias("pages"), F.col("error.page_count").alias("page_count"), F.col("error.part").alias("part_name"), F.col("error.limit").alias("limit_name"))
+
+
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of each kind, and the tables' sizes, over every nation's documents."""
     blocks = node_table(_nations(spark, sf_dir), "cells", format="csv")
@@ -250,6 +350,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "plain_text": plain_text,
     "asset_base64": asset_base64,
     "pdf_pages_generated": pdf_pages_generated,
+    "pdf_markdown": pdf_markdown,
+    "pdf_needs_ocr": pdf_needs_ocr,
+    "docx_lists": docx_lists,
+    "docx_list_items": docx_list_items,
+    "docx_links": docx_links,
+    "docx_notes": docx_notes,
+    "docx_note_refs": docx_note_refs,
+    "docx_covered_cells": docx_covered_cells,
+    "document_json": document_json,
+    "package_formats": package_formats,
+    "error_details": error_details,
     "docx_blocks": _blocks(payloads.docx),
     "odt_blocks": _blocks(payloads.odt),
     "rtf_blocks": _blocks(payloads.rtf),
@@ -264,6 +375,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LINES = r"""list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\x00-\x20]+', ' ', 'g'))), lambda x: x <> '')"""
 _MADE = f"made AS (SELECT doc_id, {_LINES} AS ls FROM documents WHERE text IS NOT NULL AND len({_LINES}) > 0)"
+_ALL = f"WITH every AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE {_LINES} END AS ls FROM documents)"
+_REST = "array_to_string(ls[2:], chr(10) || chr(10))"
 _EACH = f"WITH {_MADE}, l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS k FROM made)"
 
 
@@ -308,12 +421,13 @@ ORACLES: dict[str, str] = {
         SELECT page_id, path, {_KNOWN}[e] AS format FROM p""",
     "format_precedence": f"SELECT doc_id, coalesce({_HEAD_SQL}, CASE doc_id % 2 WHEN 0 THEN 'csv' ELSE 'pdf' END) AS format FROM documents",
     "unnamed_csv_errors": "SELECT source, 'unsupported' AS code, true AS empty, count(*) AS n FROM documents GROUP BY source",
-    "document_unsupported_pdf": "SELECT doc_id, 'pdf' AS format, 'unsupported' AS code, true AS says_markdown, true AS empty FROM documents WHERE doc_id % 5 = 0",
+    "document_unsupported_pdf": "SELECT doc_id, 'pdf' AS format, 'unsupported' AS code, true AS says_markdown, true AS empty FROM documents",
     "error_code_counts": """
         WITH n AS (SELECT ['docx', 'pdf', 'rtf', 'doc', 'epub', 'csv', 'word'][CAST(doc_id % 7 AS INTEGER) + 1] AS name FROM documents)
         SELECT name, CASE name WHEN 'pdf' THEN 'unsupported' WHEN 'word' THEN 'unsupported' WHEN 'csv' THEN 'none' ELSE 'malformed' END AS code, count(*) AS n FROM n GROUP BY name""",
     "pages_join": """
-        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS m, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(ls) AS m, generate_subscripts(ls, 1) AS k FROM d)
         SELECT doc_id, coalesce(string_agg(m, chr(10) ORDER BY k) FILTER (m <> ''), '') AS markdown, count(*) AS n_pages FROM l GROUP BY doc_id""",
     "plain_lines": """
         WITH l AS (SELECT n_regionkey AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS position, n_nationkey || ' ' || n_name AS line FROM nation
@@ -321,6 +435,31 @@ ORACLES: dict[str, str] = {
         SELECT region, CAST(position AS INTEGER) AS position, line FROM l""",
     "plain_text": _EACH + " SELECT doc_id, string_agg(line, '' ORDER BY k) AS text FROM l GROUP BY doc_id",
     "asset_base64": "SELECT doc_id, to_base64(encode(text)) AS data FROM documents",
+    "pdf_pages_generated": _ALL + f"""
+        SELECT doc_id, CAST(p AS INTEGER) AS number, p = 2 OR (p = 3 AND len(ls) = 1) AS blank, sha256(CASE p WHEN 1 THEN ls[1] WHEN 2 THEN '' ELSE {_REST} END) AS sha256
+        FROM every, range(1, 4) AS r(p) WHERE len(ls) > 0 UNION ALL SELECT doc_id, NULL, NULL, NULL FROM every WHERE len(ls) = 0""",
+    "pdf_markdown": _ALL + f"""
+        SELECT doc_id, 'pdf' AS format, CASE WHEN len(ls) > 0 THEN sha256(ls[1] || CASE WHEN len(ls) > 1 THEN chr(10) || {_REST} ELSE '' END) END AS sha256,
+          CASE WHEN len(ls) = 0 THEN 'unsupported' END AS code, CASE WHEN len(ls) = 0 THEN 'PDF has no extractable text (TextBased, 3 pages)' END AS message FROM every""",
+    "pdf_needs_ocr": "SELECT doc_id, CAST(NULL AS INTEGER) AS number, CAST(NULL AS VARCHAR) AS markdown, 'needsOcr' AS code, '2,3' AS pages, CAST(3 AS INTEGER) AS page_count FROM documents",
+    "docx_lists": _EACH + """
+        SELECT doc_id, 'body' AS container, '000000' AS path, 'list' AS kind, 'decimal' AS list_marker, CAST(3 AS BIGINT) AS list_start, CAST(NULL AS VARCHAR) AS text FROM made
+        UNION ALL SELECT doc_id, 'list_item', '000000.' || lpad(CAST(k AS VARCHAR), 6, '0') || '.000000', 'paragraph', NULL, NULL, line FROM l""",
+    "docx_list_items": _EACH + " SELECT doc_id, CAST(0 AS INTEGER) AS list_id, CAST(k AS INTEGER) AS ordinal, CAST(NULL AS VARCHAR) AS marker_label FROM l",
+    "docx_links": _EACH + " SELECT doc_id, lpad(CAST(k AS VARCHAR), 6, '0') || '.000000' AS path, 'external' AS target_kind, 'https://example.org/' || k AS target_value FROM l",
+    "docx_notes": _EACH + " SELECT doc_id, 'n' || lpad(CAST(k AS VARCHAR), 6, '0') || '.000000' AS path, 'paragraph' AS kind, line AS text FROM l",
+    "docx_note_refs": _EACH + " SELECT doc_id, 'footnote' AS note, count(*) AS n FROM l GROUP BY doc_id",
+    "docx_covered_cells": _EACH + """
+        , c AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id) AS n, first_value(line) OVER (PARTITION BY doc_id ORDER BY k) AS head FROM l)
+        SELECT doc_id, CAST(k AS INTEGER) AS "row", CAST(CASE k WHEN 0 THEN 1 ELSE 0 END AS INTEGER) AS col, CAST(CASE k WHEN 0 THEN 0 ELSE 1 END AS INTEGER) AS origin_row,
+          CAST(0 AS INTEGER) AS origin_col, CASE k WHEN 0 THEN head ELSE 'side' END AS origin_text, CAST(CASE k WHEN 0 THEN 2 ELSE 1 END AS INTEGER) AS origin_col_span,
+          CAST(CASE k WHEN 0 THEN 1 ELSE n - 1 END AS INTEGER) AS origin_row_span FROM c WHERE k <> 1""",
+    "document_json": _ALL + " SELECT doc_id, false AS failed, CAST(len(ls) AS INTEGER) AS n_blocks, sha256(array_to_string(ls, chr(10))) AS sha256, CAST(0 AS INTEGER) AS n_rest FROM every",
+    "package_formats": "SELECT k AS written, k AS format, (SELECT count(*) FROM documents) AS n FROM (SELECT unnest([" + ", ".join(f"'{k}'" for k in _PACKAGES) + "]) AS k)",
+    "error_details": """
+        SELECT r_regionkey AS region, CAST(c AS INTEGER) AS "case", ['needsOcr', 'missingPart', 'encrypted', 'resourceLimit'][c + 1] AS code, CASE c WHEN 0 THEN '2' END AS pages,
+          CAST(CASE c WHEN 0 THEN 2 END AS INTEGER) AS page_count, CASE c WHEN 1 THEN 'word/document.xml' END AS part_name, CASE c WHEN 3 THEN 'max_entry_bytes' END AS limit_name
+        FROM region, range(4) AS r(c)""",
     "docx_blocks": _BLOCKS_SQL,
     "odt_blocks": _BLOCKS_SQL,
     "rtf_blocks": _BLOCKS_SQL,
@@ -330,5 +469,5 @@ ORACLES: dict[str, str] = {
     "pptx_blocks": _SLIDES_SQL,
     "odp_blocks": _SLIDES_SQL,
     "image_assets": _EACH + f" SELECT doc_id, count(*) AS n_assets, CAST({len(payloads.PNG)} * count(*) AS BIGINT) AS n_bytes, 'image/png' AS media_type FROM l WHERE k % 2 = 0 GROUP BY doc_id",
-    "refs_dangling": _EACH + " SELECT doc_id, count(*) AS n, count(*) FILTER (k % 2 = 1) AS unavailable, CAST(0 AS BIGINT) AS n_dangling FROM l GROUP BY doc_id",
+    "refs_dangling": _EACH + " SELECT doc_id, count(*) AS n, count(*) FILTER (k % 2 = 1) AS unavailable, CAST(count(*) % 2 AS BIGINT) AS n_dangling FROM l GROUP BY doc_id",
 }

@@ -35,13 +35,6 @@ def test_matches_sql(spark, duck, name):
     assert rows(got, columns) == rows(want, columns)
 
 
-def test_pdf_pages(spark):
-    made = entry.queries()["pdf_pages_generated"](spark, SF_DIR)
-    counts = made.groupBy("doc_id").count().select("count").distinct().collect()
-    assert [r["count"] for r in counts] == [3]
-    assert made.where("number = 2 and not blank").count() == 0
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
