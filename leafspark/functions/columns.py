@@ -26,7 +26,9 @@ def format_from_path(path: Column) -> Column:
 def signature_format(content: Column) -> Column:
     """Format by the signatures that need no parsing: PDF and RTF."""
     head = F.substring(content, 1, 1024)
-    text = F.regexp_replace(F.decode(F.substring(content, 1, 64), "ISO-8859-1"), "^[ \\t\\r\\n]+", "")
+    bare = lambda part: F.regexp_replace(F.decode(part, "ISO-8859-1"), "^[ \\t\\r\\n]+", "")
+    # White space before the signature may be of any length; only contents that begin with much are read on.
+    text = F.when(F.length(bare(F.substring(content, 1, 64))) >= 5, bare(F.substring(content, 1, 64))).otherwise(bare(content))
     return F.when(F.contains(head, F.lit(PDF_HEAD)), "pdf").when(F.startswith(text, F.lit(RTF_HEAD.decode())), "rtf")
 
 

@@ -7,6 +7,8 @@ from ..errors import ConvertError
 from .excel import MAX_CELLS
 from .package import Assets, Package, attribute, child, local, nested_lists, over
 
+#: Blanks that one element may stand for.
+_MOST_BLANKS = 1_000_000
 _MARKERS = {"1": "decimal", "a": "lower_alpha", "A": "upper_alpha", "i": "lower_roman", "I": "upper_roman"}
 
 
@@ -176,7 +178,10 @@ class _Reader:
             elif kind == "a":
                 out.append(model.link(model.merged(self.inlines(c, style)), *model.link_to(attribute(c, "href", ""))))
             elif kind == "s":
-                out.append(model.text(" " * min(1000, int(attribute(c, "c", "1"))), **style))
+                n = int(attribute(c, "c", "1"))
+                if n > _MOST_BLANKS:
+                    raise over("max_blanks")
+                out.append(model.text(" " * n, **style))
             elif kind == "tab":
                 out.append(model.text("\t", **style))
             elif kind == "line-break":

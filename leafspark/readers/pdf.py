@@ -12,6 +12,8 @@ from ..errors import ConvertError, malformed, unsupported
 from .package import MAX_ENTRY_BYTES, over
 from .pdf_layout import Glyph, page_markdown
 
+#: Nested forms, and operands before an operator, that a page may have.
+_MOST_FORMS, _MOST_OPERANDS = 64, 1_000_000
 _WS = b"\x00\t\n\x0c\r "
 _DELIMITERS = b"()<>[]{}/%"
 _REGULAR = re.compile(rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]+")
@@ -626,8 +628,8 @@ class Content:
                 return
             if not isinstance(token, Word):
                 held.append(token)
-                if len(held) > 10_000:
-                    held = held[-100:]
+                if len(held) > _MOST_OPERANDS:
+                    raise over("max_operands")
                 continue
             op, args, held = bytes(token), held, []
             numbers = [x for x in args if isinstance(x, (int, float)) and not isinstance(x, bool)]
@@ -666,7 +668,9 @@ class Content:
                 elif op in (b"Tc", b"Tw", b"TL", b"Ts", b"Tr", b"Tz"):
                     key = {b"Tc": "char", b"Tw": "word", b"TL": "lead", b"Ts": "rise", b"Tr": "mode", b"Tz": "wide"}[op]
                     state[key] = numbers[0] / 100 if op == b"Tz" else numbers[0]
-                elif op == b"Do" and depth < 12:
+                elif op == b"Do" and depth >= _MOST_FORMS:
+                    raise over("max_form_depth")
+                elif op == b"Do":
                     found = self.pdf.get((self.pdf.get(resources.get("XObject")) or {}).get(str(args[0])))
                     if isinstance(found, Stream) and found.entries.get("Subtype") == "Image":
                         self.images += 1

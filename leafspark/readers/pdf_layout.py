@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -102,13 +103,21 @@ def _segment(part: list[Glyph], spaced: bool) -> Segment:
 
 def columns_of(lines: list[Line]) -> list[tuple[float, float]]:
     """Intervals that overlapping segments of the lines fill together."""
-    out: list[list[float]] = []
-    for s in sorted((s for line in lines for s in line.segments), key=lambda s: s.x0):
-        if out and s.x0 <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], s.x1)
+    return _merged((s.x0, s.x1) for line in lines for s in line.segments)
+
+
+def _merged(intervals: Iterable[tuple[float, float]]) -> list[tuple[float, float]]:
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(intervals):
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], hi)
         else:
-            out.append([s.x0, s.x1])
-    return [tuple(c) for c in out]
+            out.append((lo, hi))
+    return out
+
+
+def _grown(columns: list[tuple[float, float]], line: Line) -> list[tuple[float, float]]:
+    return _merged([*columns, *((s.x0, s.x1) for s in line.segments)])
 
 
 def _spans(line: Line, columns: list[tuple[float, float]]) -> int:
@@ -123,25 +132,23 @@ def tables_of(lines: list[Line], body: float) -> list[tuple[int, int]]:
         if len(lines[at].segments) < 2 or lines[at].size > _HEADING * body:
             at += 1
             continue
-        end, last = at + 1, at
+        end, columns, multi = at + 1, columns_of([lines[at]]), 1
         for k in range(at + 1, len(lines)):
             line = lines[k]
             if line.size > _HEADING * body or lines[k - 1].y - line.y > _FAR * line.size:
                 break
             if len(line.segments) > 1:
-                multi = [x for x in lines[at : k + 1] if len(x.segments) > 1]
-                if len(columns_of(multi)) < 2:
+                wider = _grown(columns, line)
+                if len(wider) < 2:
                     break
-                last, end = k, k + 1
-            elif len(columns_of([x for x in lines[at : last + 1] if len(x.segments) > 1] + [line])) < 2:
+                columns, end, multi = wider, k + 1, multi + 1
+            elif len(_grown(columns, line)) < 2:
                 break
-        multi = [x for x in lines[at:end] if len(x.segments) > 1]
-        columns = columns_of(multi)
         # Single lines right above may be the top of a stacked header.
         first = at
         while first > 0 and lines[first - 1].size <= _HEADING * body and lines[first - 1].y - lines[first].y < _STACKED * body and _spans(lines[first - 1], columns) <= 1:
             first -= 1
-        if len(multi) >= 2 and len(columns) >= 2:
+        if multi >= 2 and len(columns) >= 2:
             out.append((first, end))
             at = end
         else:
