@@ -19,11 +19,12 @@ joined. Then, instead of all pairs within a posting list:
    chose in a first round, where they chose the representative they share most prefix shingles with.
    Documents are verified against their choices of both rounds, one or two pairs a document, which merges
    large groups of near copies into few classes.
-2. what is left are pairs in different classes. They are joined on their prefixes, where a posting list holds
-   more than one class. Two documents of one hub either share no more shingles than the smaller overlap of theirs
-   with the hub, and are only taken where that allows a link; or they share some outside the hub's set, at least
-   as many as the hub leaves them to find, and are joined on the prefixes that this number gives to their sets
-   outside the hub. All pairs found are verified on the whole sets and merged. This is the exact rest: every pair
+2. what is left are pairs in different classes. Documents of different hubs are joined on their prefixes, where a
+   posting list holds more than one class. Two documents of one hub either share no more shingles than the smaller
+   overlap of theirs with the hub, and are joined on the hub where that allows a link (on prefixes such a pair would
+   come once for every shingle of the hub that both have); or they share some outside the hub's set, at least as many
+   as the hub leaves them to find, and are joined on the prefixes that this number gives to their sets outside the
+   hub. All pairs found are verified on the whole sets and merged. This is the exact rest: every pair
    that could still change the result is looked at, and no posting list is paired with itself within a class. A
    list of more than ``_LIST`` documents is split over several tasks, by its measured length.
 
@@ -290,11 +291,12 @@ def link_classes(
     facts = written(compare(asked, own))
     classes = _relabel(classes, facts.where(_LINKED))
     near = facts.join(hubs, (F.col("a") == F.col("doc")) & (F.col("b") == F.col("hub")))
-    near = near.select("doc", F.col("na").alias("n"), "hub", F.col("both").alias("overlap"), "outside")
+    near = near.select("doc", F.col("na").alias("n"), "hub", F.col("both").alias("overlap"), F.col("nb").alias("hub_n"), "outside")
     alone = own.select("doc", "n").join(hubs.where("doc = hub"), "doc")
-    alone = alone.select("doc", "n", "hub", F.col("n").alias("overlap"), F.array().cast("array<bigint>").alias("outside"))
+    alone = alone.select("doc", "n", "hub", F.col("n").alias("overlap"), F.col("n").alias("hub_n"), F.array().cast("array<bigint>").alias("outside"))
     members = written(near.union(alone).join(classes, "doc"))
-    pairs = written(_pairs(posted, members).union(_outside_hubs(members)).distinct())
+    pairs = _across_hubs(posted, members).union(_outside_hubs(members)).union(_within_hubs(members, classes))
+    pairs = written(pairs.distinct())
     if pairs.take(1):
         classes = _relabel(classes, compare(pairs, own).where(_LINKED))
     of_copy = copies.join(classes.withColumnRenamed("doc", "head"), "head", "left")
@@ -336,16 +338,15 @@ def _sides(rows: DataFrame, key: list[str], columns: list[str]) -> tuple[DataFra
 
 
 #: Different classes, and sizes that allow a link.
-_APART = f"a_doc < b_doc and a_class <> b_class and 100 * least(a_n, b_n) >= {PERCENT} * greatest(a_n, b_n)"
+_APART = f"a_class <> b_class and 100 * least(a_n, b_n) >= {PERCENT} * greatest(a_n, b_n)"
 
 
-def _pairs(posted: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs that share enough of their prefixes, and if they have one hub, may share enough of it."""
-    rows = posted.select("token", "level", "doc", "depth").join(members.drop("outside"), "doc")
-    a, b = _sides(written(rows), ["token"], ["level", "doc", "n", "depth", "hub", "overlap", "class"])
+def _across_hubs(posted: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of different hubs that share enough of their prefixes."""
+    rows = posted.select("token", "level", "doc", "depth").join(members.select("doc", "n", "hub", "class"), "doc")
+    a, b = _sides(written(rows), ["token"], ["level", "doc", "n", "depth", "hub", "class"])
     ask = F.least("a_depth", "b_depth")
-    inside = f"a_hub <> b_hub or {100 + PERCENT} * least(a_overlap, b_overlap) >= {PERCENT} * (a_n + b_n)"
-    met = a.join(b, ["token", "part"]).where(F.expr(_APART) & F.expr(inside) & (F.greatest("a_level", "b_level") <= ask))
+    met = a.join(b, ["token", "part"]).where(F.expr(f"a_doc < b_doc and a_hub <> b_hub and {_APART}") & (F.greatest("a_level", "b_level") <= ask))
     met = met.groupBy("a_doc", "b_doc").agg(F.count(F.lit(1)).alias("shared"), F.min(ask).alias("ask"))
     return met.where("shared >= ask").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
 
@@ -354,5 +355,17 @@ def _outside_hubs(members: DataFrame) -> DataFrame:
     """Pairs of one hub that share a shingle of their prefixes outside the hub."""
     rows = members.select("hub", "doc", "n", "class", F.explode("outside").alias("token"))
     a, b = _sides(written(rows), ["hub", "token"], ["doc", "n", "class"])
-    met = a.join(b, ["hub", "token", "part"]).where(_APART)
+    met = a.join(b, ["hub", "token", "part"]).where(f"a_doc < b_doc and {_APART}")
     return met.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
+
+
+def _within_hubs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of one hub whose overlaps with it allow a link.
+
+    One of the two is not in the hub's class, and then the other has to be smaller than the hub.
+    """
+    of_hub = classes.select(F.col("doc").alias("hub"), F.col("class").alias("hub_class"))
+    a, b = _sides(written(members.drop("outside").join(of_hub, "hub")), ["hub"], ["doc", "n", "overlap", "class", "hub_n", "hub_class"])
+    met = a.where("a_class <> a_hub_class").join(b.where("b_n < b_hub_n"), ["hub", "part"])
+    met = met.where(f"{_APART} and {100 + PERCENT} * least(a_overlap, b_overlap) >= {PERCENT} * (a_n + b_n)")
+    return met.select(F.least("a_doc", "b_doc").alias("a"), F.greatest("a_doc", "b_doc").alias("b"))
