@@ -50,9 +50,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/") + "/leafspark-" + spark.sparkContext.applicationId
 
 
+_tables: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared scratch folder: cuts lineage, survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -65,12 +69,27 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def release(spark: SparkSession) -> None:
-    """Delete this application's scratch tables; results that still read them must be stored first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession, since: int | None = None) -> None:
+    """Delete this application's scratch tables; results that still read them must be stored first.
+
+    With ``since``, a value of ``n_written``, only the tables that were written after it was taken.
+    """
+    if since is None:
+        delete(spark, scratch_dir(spark))
+        _tables.clear()
+    while since is not None and len(_tables) > since:
+        delete(spark, _tables.pop())
+
+
+def n_written() -> int:
+    return len(_tables)
+
+
 def text_bytes(df: DataFrame, text_col: str) -> int:
     return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 

@@ -82,6 +82,8 @@ def test_lines(spark, docs, empty):
     assert any(x[3] for x in got) and made.where("text is null").select("n_lines", "n_deleted").first() == (0, 0)
     assert lines.dedup_lines(docs).count() == len(corpus()) and lines.dedup_lines(empty).count() == 0
     copies = lines.dedup_lines(docs).groupBy("doc_id", "text").count().where("count > 1 and doc_id is not null")
+    clashing = docs.selectExpr("doc_id", "text", "lang as doc", "source as _doc", "block as _starts", "hits as spots")
+    assert lines.dedup_lines(clashing).columns == [*clashing.columns, "n_lines", "n_deleted"] and lines.dedup_lines(clashing).count() == len(corpus())
     assert copies.count() == 1  # the identical rows of one id keep the same lines
 
 
