@@ -1,6 +1,10 @@
 """A corpus pipeline over ``documents``: five stages, each written as Parquet and read by the next.
 
 Every stage works on all rows that its predecessor kept and returns their columns; the last adds the pieces.
+
+Null and empty texts fail the quality rules and go in the first stage. Given to a later one, they stay there as they
+are: nothing is cut from them, they are nobody's copy, hold no benchmark passage, and have null or no pieces. Null ids
+are kept; columns beside those of ``documents`` pass through. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafspark.llm import decontam, lines, ngram_join, quality, sentencepiece_scan
-from leafspark.llm._common import scratch_dir, table, written
+from leafspark.llm._common import delete, n_written, release, scratch_dir, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,9 +73,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, applied to ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
+        path, since = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}", n_written()
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(spark, since)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
