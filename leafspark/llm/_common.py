@@ -117,13 +117,13 @@ def join_split(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """``rows`` joined with ``table`` (written, one row a ``key``, with the rows of each key as ``n``) where both have it.
 
     Keys with more than an eighth of a partition's share of the rows, of which there can be no more than eight a
-    partition, are broadcast, so a hot key's rows stay where they are; only the others are shuffled by key.
+    partition, are broadcast, so a hot key's rows stay where they are; only the others are shuffled by key, at every size.
     """
     total = table.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") > max(1, total // (8 * shuffle_partitions(rows)))
     heavy, light = F.broadcast(table.where(hot).drop("n")), table.where(~hot).drop("n")
     rest = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti")
-    return rows.join(heavy, key).unionByName(rest.join(light, key))
+    return rows.join(heavy, key).unionByName(rest.join(light.hint("merge"), key))
 
 
 def slices(batch: pa.RecordBatch, at: int, size: int) -> Iterator[pa.RecordBatch]:

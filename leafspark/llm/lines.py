@@ -135,7 +135,7 @@ def dedup_lines(
     found = repeated_windows(tagged.select(doc, text_col), doc, text_col, run, long_words)
     found = written(found.groupBy("doc").agg(F.collect_set(F.struct("start", "size")).alias("spots")))
     found = found.toDF(f"{doc}_of", spots)
-    joined = tagged.join(found, F.col(doc).eqNullSafe(F.col(f"{doc}_of")), "left")
+    joined = tagged.join(found.hint("merge"), F.col(doc).eqNullSafe(F.col(f"{doc}_of")), "left")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_lines bigint, n_deleted bigint"
