@@ -27,24 +27,24 @@ def _named(name):
     return name or None, None
 
 
-@udf(_result("markdown"))
+@udf(_result("markdown"), useArrow=True)
 def _to_markdown(content, name):
     own, wrong = _named(name)
     return (None, wrong) if wrong else guarded(convert.to_markdown, bytes(content or b""), own)
 
 
-@udf(_result("document"))
+@udf(_result("document"), useArrow=True)
 def _to_document(content, name):
     own, wrong = _named(name)
     return (None, wrong) if wrong else guarded(lambda *a: to_json(convert.to_document(*a)), bytes(content or b""), own)
 
 
-@udf(_TEXT)
+@udf(_TEXT, useArrow=True)
 def _from_bytes(content):
     return format_from_bytes(bytes(content)) if content is not None else None
 
 
-@udtf(returnType=T.StructType([*PAGE.fields, T.StructField("error", ERROR)]))
+@udtf(returnType=T.StructType([*PAGE.fields, T.StructField("error", ERROR)]), useArrow=True)
 class _PdfPages:
     def eval(self, content, name):
         own, wrong = _named(name)
@@ -62,7 +62,7 @@ def _nodes(table: str):
             found, wrong = (None, wrong) if wrong else guarded(convert.to_document, bytes(content or b""), own)
             yield from rows_of(found, table) if found else ()
 
-    return udtf(Nodes, returnType=TABLES[table])
+    return udtf(Nodes, returnType=TABLES[table], useArrow=True)
 
 
 def register(spark: SparkSession) -> None:

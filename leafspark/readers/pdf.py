@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from ..errors import ConvertError, malformed, unsupported
 from .package import MAX_ENTRY_BYTES, over
 from .pdf_layout import Glyph, page_markdown
+from .pdf_security import Security
 
 #: Nested forms, and operands before an operator, that a page may have.
 _MOST_FORMS, _MOST_OPERANDS = 64, 1_000_000
@@ -41,6 +42,8 @@ class Stream:
     entries: dict
     raw: bytes
     owner: object = field(default=None, repr=False)
+    number: int = 0
+    generation: int = 0
 
 
 class Lexer:
@@ -145,14 +148,15 @@ class Document:
         self.cache: dict = {}
         self.places: dict[int, tuple] = {}
         self.trailer: dict = {}
+        self.security: Security | None = None
+        self.packs: dict[int, tuple[bytes, list]] = {}
         try:
             self._tables()
+            self._unlock()
             if not isinstance(self.get(self.trailer.get("Root")), dict):
                 raise malformed("no catalog")
         except (ConvertError, ValueError, EOFError, KeyError, IndexError, TypeError, struct.error, zlib.error):
             self._rebuild()
-        if "Encrypt" in self.trailer:
-            raise ConvertError("encrypted", "the document is password protected")
         root = self.get(self.trailer.get("Root"))
         if not isinstance(root, dict):
             raise malformed("invalid PDF structure")
@@ -160,6 +164,14 @@ class Document:
         if not self.pages:
             raise malformed("invalid PDF structure")
 
+    def _unlock(self) -> None:
+        """Decrypt streams from here on, if the file is encrypted."""
+        if "Encrypt" in self.trailer and self.security is None:
+            entries, names = self.get(self.trailer["Encrypt"]), self.get(self.trailer.get("ID"))
+            name = self.get(names[0]) if isinstance(names, list) and names else b""
+            entries = {k: self.get(v) for k, v in entries.items()} if isinstance(entries, dict) else {}
+            self.security = Security(entries, name if isinstance(name, bytes) else b"")
+
     def _tables(self) -> None:
         spot = self.data.rfind(b"startxref")
         at, seen = int(re.match(rb"startxref\s+(\d+)", self.data[spot : spot + 40])[1]) if spot >= 0 else -1, set()
@@ -213,7 +225,7 @@ class Document:
 
     def _rebuild(self) -> None:
         """Find the objects by their headers where the tables are broken."""
-        self.cache, self.places = {}, {}
+        self.cache, self.places, self.packs = {}, {}, {}
         trailer = dict(self.trailer)
         for m in _OBJECT.finditer(self.data):
             self.places[int(m[1])] = (m.start(),)
@@ -223,6 +235,12 @@ class Document:
                 trailer |= found if isinstance(found, dict) else {}
             except (EOFError, ConvertError):
                 continue
+        for number in list(self.places):
+            o = self.get(Ref(number))
+            if isinstance(o, Stream) and o.entries.get("Type") == "XRef":
+                trailer = o.entries | trailer
+        self.trailer = trailer
+        self._unlock()
         for number in list(self.places):
             o = self.get(Ref(number))
             if isinstance(o, Stream) and o.entries.get("Type") == "ObjStm":
@@ -231,14 +249,11 @@ class Document:
                         self.places.setdefault(inner, (number, k))
                 except (ValueError, EOFError, ConvertError, TypeError):
                     continue
-            if isinstance(o, Stream) and o.entries.get("Type") == "XRef":
-                trailer = o.entries | trailer
         if not isinstance(self.get(trailer.get("Root")), dict):
             for number in list(self.places):
                 o = self.get(Ref(number))
                 if isinstance(o, dict) and o.get("Type") == "Catalog":
                     trailer["Root"] = Ref(number)
-        self.trailer = trailer
 
     def _object_at(self, at: int):
         m = _OBJECT.match(self.data, _BLANK.match(self.data, at).end())
@@ -258,7 +273,7 @@ class Document:
                 end = len(self.data) if end < 0 else end
                 if not isinstance(size, int) or abs(end - start - size) > 2:
                     end -= self.data[end - 1 : end] == b"\n"
-            return Stream(found, self.data[start:end], self)
+            return Stream(found, self.data[start:end], self, int(m[1]), int(m[2]))
         return found
 
     def _packed_numbers(self, stream: Stream) -> list[int]:
@@ -266,6 +281,16 @@ class Document:
         numbers = [lexer.value(refs=False) for _ in range(2 * stream.entries["N"])]
         return numbers[::2]
 
+    def _packed(self, number: int, depth: int) -> tuple[bytes, list]:
+        """An object stream's content, and where each of its objects begins."""
+        if number not in self.packs:
+            holder = self.get(Ref(number), depth + 1)
+            body, first = self.decoded(holder), self.get(holder.entries["First"])
+            lexer = Lexer(body)
+            heads = [lexer.value(refs=False) for _ in range(2 * holder.entries["N"])]
+            self.packs[number] = body, [first + at for at in heads[1::2]]
+        return self.packs[number]
+
     def get(self, o, depth: int = 0):
         """The object itself behind references."""
         while isinstance(o, Ref) and depth < 50:
@@ -276,11 +301,8 @@ class Document:
                     if place and len(place) == 1:
                         self.cache[o.number] = self._object_at(place[0])
                     elif place:
-                        holder = self.get(Ref(place[0]), depth + 1)
-                        body = self.decoded(holder)
-                        lexer = Lexer(body)
-                        heads = [lexer.value(refs=False) for _ in range(2 * holder.entries["N"])]
-                        self.cache[o.number] = Lexer(body, self.get(holder.entries["First"]) + heads[2 * place[1] + 1]).value()
+                        body, starts = self._packed(place[0], depth)
+                        self.cache[o.number] = Lexer(body, starts[place[1]]).value()
                 except (EOFError, ValueError, KeyError, IndexError, TypeError, AttributeError, ConvertError):
                     pass
             o, depth = self.cache[o.number], depth + 1
@@ -288,6 +310,8 @@ class Document:
 
     def decoded(self, stream: Stream) -> bytes:
         data = stream.raw
+        if self.security and stream.entries.get("Type") != "XRef":
+            data = self.security.stream(data, stream.number, stream.generation)
         filters, parms = self.get(stream.entries.get("Filter")) or [], self.get(stream.entries.get("DecodeParms"))
         filters = [self.get(f) for f in filters] if isinstance(filters, list) else [filters]
         parms = parms if isinstance(parms, list) else [parms]
@@ -622,10 +646,13 @@ class Content:
             tm = _times((1, 0, 0, 1, at, 0), tm)
 
         while True:
+            lexer.blank()
+            if lexer.at >= len(data):
+                return
             try:
                 token = lexer.value(refs=False)
-            except (EOFError, ConvertError):
-                return
+            except EOFError:
+                raise malformed("a page's content ends inside an object") from None
             if not isinstance(token, Word):
                 held.append(token)
                 if len(held) > _MOST_OPERANDS:

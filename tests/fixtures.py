@@ -15,21 +15,22 @@ SHEET = b"Kind,Value,Note\npercent,15.5%,x\nnumber,1234.5,y\n"
 MIXED_PDF = P.pdf([["Text on the first page"], []], images=(2,))
 ENCRYPTED_ODT = P.odf("odt", "", '<m:manifest xmlns:m="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0"><m:file-entry m:full-path="content.xml"><m:encryption-data/></m:file-entry></m:manifest>')
 BOMB = P.docx_body("", {"word/styles.xml": b" " * ((64 << 20) + 10)})
+#: Of a handler that leaves out what is needed to open it.
 ENCRYPTED_PDF = MIXED_PDF.replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt << /Filter /Standard /V 1 /R 2 >>")
 
 
-
-def typed(*pages):
+def typed(*pages, seal=lambda number, stream: stream, trailer=b""):
     """A PDF of A5 pages in two simple fonts whose characters are half as wide as high, bold where a text begins with *.
 
-    A page is a list of (left, bottom, size, text), bottoms counted from the page's lower edge.
+    A page is a list of (left, bottom, size, text), bottoms counted from the page's lower edge. ``seal`` encrypts the
+    stream of an object, ``trailer`` adds entries to the trailer.
     """
     parts = {1: b"<</Type/Catalog/Pages 2 0 R>>"}
     for own, name in ((3, b"Times-Roman"), (4, b"Times-Bold")):
         parts[own] = b"<</Type/Font/Subtype/Type1/BaseFont/%s/FirstChar 32/LastChar 126/Widths[%s]/Encoding/WinAnsiEncoding>>" % (name, b" ".join([b"500"] * 95))
     for k, page in enumerate(pages):
         shown = [b"BT /%s %d Tf %d %d Td (%s) Tj ET" % (b"B" if t[0] == "*" else b"R", size, x, y, t.lstrip("*").encode()) for x, y, size, t in page]
-        stream = b"\n".join(shown)
+        stream = seal(6 + 2 * k, b"\n".join(shown))
         parts[5 + 2 * k] = b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 420 595]/Resources<</Font<</R 3 0 R/B 4 0 R>>>>/Contents %d 0 R>>" % (6 + 2 * k)
         parts[6 + 2 * k] = b"<</Length %d>>stream\n%s\nendstream" % (len(stream), stream)
     parts[2] = b"<</Type/Pages/Count %d/Kids[%s]>>" % (len(pages), b" ".join(b"%d 0 R" % (5 + 2 * k) for k in range(len(pages))))
@@ -38,7 +39,7 @@ def typed(*pages):
         offsets.append(len(data))
         data += b"%d 0 obj%s endobj\n" % (own, parts[own])
     table = b"".join(b"%010d 00000 n \n" % o for o in offsets)
-    return data + b"xref\n0 %d\n0000000000 65535 f \n%strailer<</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF" % (len(parts) + 1, table, len(parts) + 1, len(data))
+    return data + b"xref\n0 %d\n0000000000 65535 f \n%strailer<</Size %d/Root 1 0 R%s>>\nstartxref\n%d\n%%%%EOF" % (len(parts) + 1, table, len(parts) + 1, trailer, len(data))
 
 
 def row(bottom, *cells, size=9):
