@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, join_split, written
+from ._common import fresh, join_split, tidy, written
 
 RUN = 3
 LONG_WORDS = 50
@@ -108,7 +108,7 @@ def repeated_windows(
     src = docs.select(F.col(key_col).alias("doc"), F.col(text_col).alias("text"))
     kind = src.schema["doc"].dataType.simpleString()
     around = "array<struct<start: int, size: int, key: binary>>"
-    rows = written(src.mapInArrow(_fingerprints(run, long_words), f"doc {kind}, line int, mark bigint, around {around}"))
+    rows = written(src.mapInArrow(tidy(_fingerprints(run, long_words)), f"doc {kind}, line int, mark bigint, around {around}"))
     near = join_split(rows, _shared(rows, "mark", F.struct("doc", "line")).drop("first"), "mark")
     near = written(near.select("doc", F.explode("around").alias("w")).select("doc", "w.start", "w.size", "w.key"))
     place = F.struct("doc", "start")
@@ -154,4 +154,4 @@ def dedup_lines(
             arrays += [pa.array(lines, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "n_lines", "n_deleted"])
 
-    return joined.select(*columns, spots).mapInArrow(cut, schema)
+    return joined.select(*columns, spots).mapInArrow(tidy(cut), schema)

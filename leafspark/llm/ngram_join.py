@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blocks import _LEAST, Block, bucket_of, constants, deal, joined, message, mix, n_buckets, ranked, rolling, sorted_within, unpack
-from ._common import written
+from ._common import tidy, tidy_group, written
 
 SIZE, PERCENT, DEEPEST = 5, 75, 8
 _LOW = np.uint64(0xFFFFFFFF)
@@ -218,7 +218,7 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("a_tokens"), F.col("counts").alias("a_counts"))
     b = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("b_tokens"))
     kinds = "a bigint, b bigint, na bigint, nb bigint, both bigint, outside array<bigint>"
-    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_compared, kinds)
+    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(tidy(_compared), kinds)
 
 
 #: Whether compared pairs link.
@@ -265,10 +265,10 @@ def link_classes(
     """id, n_shingles and component_id of every document."""
     dealt, blocks = deal(docs, id_col, text_col, block_bytes)
     k = n_buckets(docs, blocks)
-    sent = dealt.groupBy("block").applyInArrow(_send(k), "bucket int, block int, prints binary, n binary")
-    counts = sent.groupBy("bucket").applyInArrow(_count, "bucket int, block int, n binary")
+    sent = dealt.groupBy("block").applyInArrow(tidy_group(_send(k)), "bucket int, block int, prints binary, n binary")
+    counts = sent.groupBy("bucket").applyInArrow(tidy_group(_count), "bucket int, block int, n binary")
     sets = dealt.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(
-        _choose(k), "doc bigint, n bigint, digest binary, tokens binary, counts binary"
+        tidy_group(_choose(k)), "doc bigint, n bigint, digest binary, tokens binary, counts binary"
     )
     sets = written(sets)
     named = sets.where("digest is not null").select("doc", "n", "digest")
@@ -277,7 +277,7 @@ def link_classes(
     own = sets.where("tokens is not null").dropDuplicates(["doc", "digest", "n"])
     own = own.join(heads.withColumnRenamed("head", "doc"), ["doc", "digest", "n"], "left_semi")
     own = written(own.select("doc", "n", "tokens", "counts"))
-    posted = written(own.mapInArrow(_postings, "token bigint, level bigint, doc bigint, n bigint, depth bigint, central bigint"))
+    posted = written(own.mapInArrow(tidy(_postings), "token bigint, level bigint, doc bigint, n bigint, depth bigint, central bigint"))
     classes = heads.select(F.col("head").alias("doc"), F.col("head").alias("class")).distinct()
     # One id may have several texts: they are one node, so the classes of their sets are one.
     several = copies.groupBy("doc").agg(F.min("head").alias("a"), F.max("head").alias("last")).where("a <> last")

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._arrays import SPREAD, Table
-from ._common import fresh, shuffle_partitions, slices, written
+from ._common import fresh, shuffle_partitions, slices, tidy, written
 
 BLANK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -562,7 +562,7 @@ _scanners: dict[int, Scanner] = {}
 
 
 def _model(shared) -> Model:
-    """One model per worker."""
+    """One model per worker, until a task ends."""
     if shared.id not in _models:
         _models.clear()
         _models[shared.id] = Model(shared.value)
@@ -570,13 +570,19 @@ def _model(shared) -> Model:
 
 
 def _scanner(shared) -> Scanner:
-    """One scanner, with its memos, per worker and model."""
+    """One scanner, with its memos, per worker and model, until a task ends."""
     if shared.id not in _scanners:
         _scanners.clear()
         _scanners[shared.id] = Scanner(_model(shared))
     return _scanners[shared.id]
 
 
+def _forget() -> None:
+    """Drop what a worker holds for its next task: it may be one of another operator."""
+    _scanners.clear()
+    _models.clear()
+
+
 class _Shared:
     def __init__(self, broadcast, own: int) -> None:
         self.broadcast, self.id = broadcast, own
@@ -616,7 +622,7 @@ def encode(
                 packed = scanner.encode_all(rows.column(at).cast(pa.large_binary()).to_pylist())
                 yield pa.RecordBatch.from_arrays([*rows.columns, _lists(packed)], names=schema.names)
 
-    small = docs.where(~giant).mapInArrow(whole, schema)
+    small = docs.where(~giant).mapInArrow(tidy(whole, _forget), schema)
     big = docs.where(giant)
     return small.unionByName(_encode_giants(big, text_col, out, shared, chunk))
 
@@ -643,7 +649,7 @@ def _encode_giants(docs: DataFrame, text_col: str, out: str, shared: _Shared, ch
                         }
                     )
 
-    chunks = docs.select(own, text_col).mapInArrow(split, "row bigint, k int, s string, a int, b int")
+    chunks = docs.select(own, text_col).mapInArrow(tidy(split, _forget), "row bigint, k int, s string, a int, b int")
     chunks = written(chunks.repartition(shuffle_partitions(docs), "row", "k"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -670,9 +676,9 @@ def _encode_giants(docs: DataFrame, text_col: str, out: str, shared: _Shared, ch
             ]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), _lists(ids)], names=["row", "k", "ids"])
 
-    made = chunks.mapInArrow(matrices, "row bigint, k int, m binary")
+    made = chunks.mapInArrow(tidy(matrices, _forget), "row bigint, k int, m binary")
     states = made.groupBy("row").applyInArrow(scan, "row bigint, k int, states binary")
-    traced = chunks.join(states, ["row", "k"]).mapInArrow(trace, "row bigint, k int, ids array<int>")
+    traced = chunks.join(states, ["row", "k"]).mapInArrow(tidy(trace, _forget), "row bigint, k int, ids array<int>")
     ids = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     ids = ids.select(F.col("row").alias(own), F.flatten(F.col("parts.ids")).alias(out))
     return docs.join(ids, own).drop(own)
@@ -701,4 +707,4 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", model: str
                 texts.append(text.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, _forget), schema)
